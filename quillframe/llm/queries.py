@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, mixing, pii, secrets, sharding, toxicity, urlfilter
+from quillframe.llm import capjoin, decontam, mixing, pii, secrets, sharding, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_table(spark, sf_dir, "pages"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capjoin.linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -45,6 +49,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op8_toxicity, op9_mixing)
+    f.__name__: f for f in (op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op7_cap_filters, op8_toxicity, op9_mixing)
 }
 ORACLES: dict[str, str] = {}
