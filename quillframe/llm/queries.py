@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import capjoin, decontam, mixing, pii, secrets, sharding, toxicity, urlfilter
+from quillframe.llm import capjoin, decontam, jaccard, mixing, pii, secrets, sharding, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op7_cap_filters, op8_toxicity, op9_mixing)
+    f.__name__: f for f in (op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op7_cap_filters, op8_toxicity, op9_mixing, op10_jaccard)
 }
 ORACLES: dict[str, str] = {}
