@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import capjoin, decontam, jaccard, mixing, pii, secrets, sharding, toxicity, urlfilter
+from quillframe.llm import capjoin, decontam, jaccard, mixing, pii, secrets, sharding, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(_table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op7_cap_filters, op8_toxicity, op9_mixing, op10_jaccard)
+    f.__name__: f for f in (op1_warc, op2_pii, op3_sharding, op4_secrets, op5_decontamination, op6_url_filter, op7_cap_filters, op8_toxicity, op9_mixing, op10_jaccard)
 }
 ORACLES: dict[str, str] = {}
