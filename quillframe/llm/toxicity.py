@@ -2,7 +2,8 @@
 
 A text gives the set of its hashed words, word pairs and pairs with one or two words between. The model is fitted with
 per-coordinate learning rates and an L1 penalty on a bounded sample of labelled rows (MAX_ROWS rows of at most
-MAX_BYTES bytes, those with the least hash of doc_id); few weights are left, and they are broadcast. Scoring reads
+MAX_BYTES bytes, those with the least hash of doc_id); few weights are left, and they are broadcast. Every CALIBRATE_EVERY-th row of the sample refits slope and bias of the log odds, both
+classes weighing alike, so that 0.5 parts them. Scoring reads
 whole texts, a long one in pieces.
 
 Nulls and edge cases: a null or empty text has no features and gets the score of the bias. A null label isn't learned
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from quillframe.llm._base import WORD_BYTES, raw_texts, small_batches
 
 BITS = 20
-MAX_ROWS, MAX_BYTES = 8_000, 32_768
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 0.4, 0.05
+MAX_ROWS, MAX_BYTES = 12_000, 32_768
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 6.0, 0.05
+#: Every so many-th row of the sample is kept from the weights and calibrates the score.
+CALIBRATE_EVERY = 4
 #: Words handled at once, and bytes of a long text.
 PIECE_WORDS, PIECE_BYTES = 200_000, 1 << 20
 THRESHOLD = 0.7
@@ -132,6 +135,24 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
     return Model(index, w[index].astype(np.float32), bias)
 
 
+def calibrated(model: Model, rows: list[tuple[np.ndarray, int]], steps: int = 40) -> Model:
+    """The model with slope and bias of its log odds refitted on other rows, both classes weighing alike."""
+    y = np.array([y for _, y in rows], dtype=np.float64)
+    if not 0 < y.sum() < len(y):
+        return model
+    dense = np.zeros(1 << BITS)
+    dense[model.index] = model.weight
+    x = np.stack([np.array([model.bias + dense[f].sum() for f, _ in rows]), np.ones(len(rows))], axis=1)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
+    goal, prior, w = np.where(y == 1, 0.995, 0.005), np.diag([0.1, 0.01]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + prior, x.T @ (weight * (p - goal)) + prior @ (w - [1.0, 0.0]))
+        w -= step * min(1.0, 2 / max(1e-12, np.abs(step).max()))
+    slope = max(w[0], 1e-3)
+    return Model(model.index, (model.weight * slope).astype(np.float32), float(model.bias * slope + w[1]))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -155,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     texts = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_BYTES)
     rows = texts.join(F.broadcast(sample), "doc_id").select("h", "y", "text").mapInArrow(_feature_sets, "h long, y int, f array<int>").toArrow()
     flat = sorted(((h, y, f.values.to_numpy()) for h, y, f in zip(rows["h"].to_pylist(), rows["y"].to_pylist(), rows["f"])), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-    return ftrl([(f, y) for _, y, f in flat[:max_rows]])
+    rows = [(f, y) for _, y, f in flat[:max_rows]]
+    return calibrated(ftrl([r for i, r in enumerate(rows) if i % CALIBRATE_EVERY]), rows[::CALIBRATE_EVERY])
 
 
 def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
