@@ -28,7 +28,8 @@ class Verifier:
 
 
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(LOGIT_LIMIT)), F.lit(-LOGIT_LIMIT))))
+    """1 / (1 + exp(-x)) of a clamped logit; null stays null, which greatest() and least() alone would skip."""
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(LOGIT_LIMIT)), F.lit(-LOGIT_LIMIT)))))
 
 
 def scored(components: DataFrame, model: Verifier) -> DataFrame:
