@@ -1,8 +1,7 @@
-"""Helpers shared by the training-data operators: written tables, words, ranks and grouped Arrow streams."""
+"""Helpers shared by the training-data operators: words, ranks and grouped Arrow streams."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,37 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the session's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quillframe/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table made by written()."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+from quillframe.plans.tables import discard, scratch, written  # noqa: F401
 
 
 def small_batches(spark: SparkSession) -> None:
