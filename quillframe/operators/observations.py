@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.operators import code, text
+from quillframe.operators import code, python_code, text
 from quillframe.plans.registry import FEATURES
+from quillframe.plans.tables import written
 
 SCHEMA = {
     "int_value": "bigint", "numerator": "bigint", "denominator": "bigint", "scalar": "double", "cat": "map<string,bigint>", "hist": "map<int,bigint>",
@@ -88,6 +89,19 @@ def code_pieces(artifacts: DataFrame) -> DataFrame:
     return from_scalars(code.line_scalars(artifacts), scalars).unionByName(from_events(events))
 
 
+def python_pieces(artifacts: DataFrame) -> DataFrame:
+    """Python features of artifacts(artifact_id, text, raw); the facts are written once and read by both halves."""
+    found = written(python_code.facts(artifacts), "python-facts")
+    wide = python_code.scalars(artifacts, found).filter("parse_status not in ('decode_error', 'token_error')")
+    parsed = wide.filter("parse_status = 'ok'")
+    tokens = {"code.python.comments.comment_count": _count("comment_count", F.col("comment_count")), "code.python.comments.comment_line_share": _ratio("comment_lines", "line_count")}
+    tree = {
+        "code.python.structure.function_count": _count("function_count"), "code.python.structure.class_count": _count("class_count"),
+        "code.python.structure.nonterminal_return_function_share": _ratio("early_functions", "function_count"), "code.python.structure.import_alias_share": _ratio("renamed", "aliases"),
+    }
+    return from_events(python_code.events(found)).unionByName(from_scalars(wide, tokens)).unionByName(from_scalars(parsed, tree))
+
+
 def observed(artifacts: DataFrame, pieces: DataFrame, prefixes: tuple[str, ...], disabled: tuple[str, ...] = ()) -> DataFrame:
     """Statuses for every artifact and every feature under the prefixes, with the values found.
 
@@ -124,3 +138,9 @@ def fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFr
 def code_fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     """Surface observations of code artifacts of any language."""
     return observed(artifacts, code_pieces(artifacts), ("code.sample.", "code.surface."), disabled)
+
+
+def python_fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """Surface and Python observations of Python artifacts (artifact_id, text, raw, language)."""
+    pieces = code_pieces(artifacts).unionByName(python_pieces(artifacts))
+    return observed(artifacts, pieces, ("code.sample.", "code.surface.", "code.python.", "code.toolchain."), disabled)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import stats
 from quillframe.functions.lexicon import function_words
-from quillframe.operators import aggregate, benchmark, code, compare, corpus, observations, profile, represent, text, verify
+from quillframe.operators import aggregate, benchmark, code, compare, corpus, observations, profile, python_code, represent, text, verify
 from quillframe.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,37 @@ def code_blank_runs(spark, sf_dir):
     return ids(code.blank_runs(pages(spark, sf_dir)), "page_id")
 
 
+# ---- Python sources, written from the documents' own columns
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small Python module for each document."""
+    d = table(spark, sf_dir, "documents")
+    code_ = F.format_string('# note %d\n# on %s\nvalue_%d = %d + 0x1F  # noqa\n\ndef get%s(a, b=%d, *rest):\n    """Reads %s."""\n    if a:\n        return b\n    return [x for x in rest]\n', "doc_id", "lang", "doc_id", "n_chars", F.initcap("lang"), "doc_id", "lang")
+    return d.select(F.col("doc_id").alias("artifact_id"), code_.alias("text"), F.encode(code_, "UTF-8").alias("raw"), F.lit("python").alias("language"), F.lit("code").alias("kind"))
+
+
+@query("""SELECT doc_id, f AS feature_id, k AS key, CAST(n AS BIGINT) AS n FROM documents, (VALUES ('code.python.lexical.number_form', 'decimal_integer', 2), ('code.python.lexical.number_form', 'hexadecimal', 1), ('code.python.lexical.string_quote', repeat('"', 3), 1),
+('code.python.lexical.string_prefix', '', 1), ('code.toolchain.python_comment_marker', 'noqa', 1), ('code.python.naming.binding_role', 'assignment', 1), ('code.python.naming.binding_role', 'function', 1), ('code.python.naming.binding_role', 'parameter_positional', 2),
+('code.python.naming.binding_role', 'parameter_vararg', 1), ('code.python.naming.binding_role', 'comprehension_target', 1), ('code.python.structure.return_count', '2', 1), ('code.python.structure.branch_construct_count', '2', 1), ('code.python.structure.max_control_nesting', '1', 1),
+('code.python.structure.control_construct', 'if', 1), ('code.python.structure.control_construct', 'list_comprehension', 1), ('code.python.structure.function_length_lines', '5', 1), ('code.python.comments.docstring_length', '9', 1)) v(f, k, n)""")
+def python_events(spark, sf_dir):
+    wanted = ("lexical.number_form", "lexical.string_quote", "lexical.string_prefix", "naming.binding_role", "structure.return_count", "structure.branch_construct_count", "structure.max_control_nesting", "structure.control_construct", "structure.function_length_lines", "comments.docstring_length")
+    rows = python_code.events(python_code.facts(sources(spark, sf_dir)))
+    return ids(rows.filter(F.col("feature_id").isin("code.toolchain.python_comment_marker", *[f"code.python.{w}" for w in wanted])))
+
+
+@query("""SELECT doc_id, ordinal, kind, CASE kind WHEN 'docstring' THEN concat('Reads ', lang, '.') ELSE concat('note ', doc_id, chr(10), 'on ', lang) END AS text, CAST(r AS BIGINT) AS row FROM documents, (VALUES (1, 'comment_block', 1), (2, 'docstring', 6)) v(ordinal, kind, r)""")
+def embedded_text(spark, sf_dir):
+    rows = python_code.embedded(python_code.facts(sources(spark, sf_dir)))
+    return ids(rows.select("artifact_id", "ordinal", "kind", "text", "row"))
+
+
+@query()
+def python_fingerprints(spark, sf_dir):
+    rows = observations.python_fingerprints(sources(spark, sf_dir))
+    return ids(rows.select("artifact_id", "feature_id", "status", "int_value", F.round("scalar", DIGITS).alias("scalar"), "support_count"))
+
+
 # ---- observations and comparison
 
 @query()
