@@ -2,10 +2,11 @@
 
 Law `rows`: shards differ by one row at most. Equal texts are linked, each group through one hub, so that a group's
 state is the number of its documents in each shard, never a list of them or of their pairs. Every document begins in the
-shard of its hash. In each round a group is drawn to the shard, among those with room, that already holds most of it;
-documents elsewhere ask to move there. Requests are summed by target and hashed slice (n_shards x SLICES rows come to the
-driver), granted as far as the target's room goes, and the grants are joined back and moved. Cut edges never grow, as
-documents only leave shards that hold no more of their group. Documents without links then fill what room is left, with
+shard of its hash. In each round a group is drawn to the shard that already holds most of it; documents elsewhere ask to
+move there. Requests are summed by source, target and hashed slice (n_shards x n_shards x SLICES numbers come to the
+driver), granted as far as room and the moves out of the target allow, and the grants are joined back and moved, fractions of a
+document being rounded at a hashed number. Cut
+edges never grow, as documents only leave shards that hold no more of their group. Documents without links then fill what room is left, with
 documents above a quota, so that the law holds exactly.
 
 Counts become rows by gapless ranks, which are taken in parts (see grouped_rank), so that a hot group is in no one task.
@@ -16,49 +17,66 @@ one doc_id are sharded each; with fewer rows than shards some shards are empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._base import discard, grouped_rank, written
 
 N_SHARDS = 24
 ROUNDS = 6
-SLICES = 128
+SLICES = 16
 #: Rows of a part in which ranks are taken, in the mean.
 PART_ROWS = 50_000
 
 
 def _largest(counts: Column, shards: list[int]) -> Column:
-    """The shard, of those given, with most of the group; the first of equals."""
-    best = F.array_max(F.array(*[F.struct(F.element_at(counts, s + 1).alias("n"), F.lit(-s).alias("s")) for s in shards]))
-    return -best["s"]
+    """The shard, of those given, with most of the group; of equals a hashed one."""
+    best = F.array_max(F.array(*[F.struct(F.element_at(counts, s + 1).alias("n"), F.xxhash64(F.col("g"), F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in shards]))
+    return best["s"]
+
+
+def feasible(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The largest scaled-down moves (from, to) that no shard's room forbids; what leaves a shard makes room in it."""
+    moves = asked.astype(float)
+    for _ in range(500):
+        limit, coming = np.maximum(room + moves.sum(axis=1), 0), moves.sum(axis=0)
+        scale = np.divide(limit, coming, out=np.ones_like(limit), where=coming > limit)
+        if (scale > 1 - 1e-9).all():
+            break
+        moves *= scale[None, :]
+    return moves
 
 
 def propagated(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(g, counts array) of linked groups, moved within the quotas."""
-    k = len(quota)
-    for _ in range(rounds):
+    """(g, counts array) of linked groups, moved within the quotas.
+
+    Every other round draws groups to shards with room only, so that what a full shard can't take goes elsewhere together.
+    """
+    k, spark = len(quota), groups.sparkSession
+    asks = F.expr("posexplode(transform(counts, (n, s) -> if(s != target and n > 0 and n <= element_at(counts, target + 1), n, 0L)))")
+    for turn in range(rounds):
         load = groups.agg(*[F.sum(F.element_at("counts", s + 1)) for s in range(k)]).first()
-        room = [quota[s] - (load[s] or 0) for s in range(k)]
-        free = [s for s in range(k) if room[s] > 0]
-        if not free:
-            break
-        asked = groups.withColumn("target", _largest(F.col("counts"), free)).withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(SLICES)).cast("int"))
-        held = F.expr("element_at(counts, target + 1)")
-        asks = F.expr("aggregate(transform(counts, (n, s) -> if(s != target and n <= element_at(counts, target + 1), n, 0L)), 0L, (a, n) -> a + n)")
-        asked = asked.withColumn("asks", asks).filter(held >= 0)
-        wanted = asked.groupBy("target", "slice").agg(F.sum("asks").alias("asks")).filter("asks > 0").orderBy("target", "slice").collect()
-        grants, left = [], dict(enumerate(room))
-        for r in wanted:
-            share = min(1.0, left[r["target"]] / r["asks"])
-            left[r["target"]] -= int(r["asks"] * share)
-            if share > 0:
-                grants.append((r["target"], r["slice"], share))
-        if not grants:
+        room = np.array([quota[s] - (load[s] or 0) for s in range(k)])
+        near = [s for s in range(k) if room[s] > 0] if turn % 2 else list(range(k))
+        if not near:
+            continue
+        drawn = groups.withColumn("target", _largest(F.col("counts"), near)).withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(SLICES)).cast("int"))
+        rows = drawn.select("target", "slice", asks.alias("source", "n")).groupBy("source", "target", "slice").agg(F.sum("n").alias("n")).filter("n > 0").collect()
+        if not rows and not turn % 2:
             break
-        table = groups.sparkSession.createDataFrame(grants, "target int, slice int, share double")
-        joined = asked.join(F.broadcast(table), ["target", "slice"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        gone = F.expr("transform(counts, (n, s) -> if(s != target and n <= element_at(counts, target + 1), cast(floor(n * share) as bigint), 0L))")
+        asked = np.zeros((k, k, SLICES))
+        for r in rows:
+            asked[r["source"], r["target"], r["slice"]] = r["n"]
+        granted = feasible(asked.sum(axis=2), room)
+        before = np.cumsum(asked, axis=2) - asked
+        share = np.clip(np.divide(granted[:, :, None] - before, asked, out=np.zeros_like(asked), where=asked > 0), 0, 1)
+        if not share.any():
+            continue
+        grants = [(b, c, [float(x) for x in share[:, b, c]]) for b in range(k) for c in range(SLICES) if share[:, b, c].any()]
+        table = spark.createDataFrame(grants, "target int, slice int, share array<double>")
+        joined = drawn.join(F.broadcast(table), ["target", "slice"], "left")
+        gone = F.expr(f"transform(counts, (n, s) -> if(share is not null and s != target and n <= element_at(counts, target + 1), cast(floor(n * share[s] + pmod(xxhash64(g, s, {turn}), 1000) / 1001D) as bigint), 0L))")
         moved = joined.withColumn("gone", gone).withColumn("came", F.expr("aggregate(gone, 0L, (a, n) -> a + n)"))
         after = written(moved.select("g", F.expr("transform(counts, (n, s) -> n - gone[s] + if(s = target, came, 0L))").alias("counts")), "shard-groups")
         discard(groups)
