@@ -25,10 +25,14 @@ FLATTEN = 0.5
 MAX_MEAN = 500.0
 
 
+def hashed(*parts: Column) -> Column:
+    """What is hashed: the parts with bars between, null as a fixed mark."""
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("~")) for p in parts))
+
+
 def uniform(*parts: Column) -> Column:
     """52 bits of an MD5 over the parts, as a double in [0, 1)."""
-    text = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("~")) for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(hashed(*parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, flatten: float = FLATTEN) -> DataFrame:
@@ -64,6 +68,6 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, p
     u = uniform(F.lit(seed), F.col("doc_id"), F.col("source"))
     drawn = docs.join(cdf, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= u)))
     copies = drawn.filter("__count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "source", "mix_copy"))
+    keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(hashed(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("mix_copy"))), 1, 15), 16, 10).cast("bigint"))
     dealt = keyed.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
     return dealt.select(*names, *([] if plain else ["mix_copy", "mix_key"]))
