@@ -174,10 +174,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out())
     sample = usable.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "y").limit(max_rows)
     texts = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_BYTES)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("h", "y", "text").mapInArrow(_feature_sets, "h long, y int, f array<int>").toArrow()
-    flat = sorted(((h, y, f.values.to_numpy()) for h, y, f in zip(rows["h"].to_pylist(), rows["y"].to_pylist(), rows["f"])), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-    rows = [(f, y) for _, y, f in flat[:max_rows]]
-    return calibrated(ftrl([r for i, r in enumerate(rows) if i % CALIBRATE_EVERY]), rows[::CALIBRATE_EVERY])
+    rows = texts.join(F.broadcast(sample), "doc_id").select("h", "y", "text").mapInArrow(_feature_sets, "h long, y int, f array<int>")
+    ordered = rows.repartition(1).sortWithinPartitions("h", "y", F.xxhash64("f"))
+    got = ordered.mapInArrow(_trained(max_rows), "index array<int>, weight array<float>, bias double").first()
+    if got is None:
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0)
+    return Model(np.array(got["index"], dtype=np.int64), np.array(got["weight"], dtype=np.float32), got["bias"])
+
+
+def _trained(max_rows: int):
+    """Sorted feature sets to one row with the model; the task holds the bounded sample, the driver only the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, int]] = []
+        for batch in batches:
+            sets = batch.column(batch.schema.get_field_index("f"))
+            for y, f in zip(batch.column(batch.schema.get_field_index("y")).to_pylist(), sets):
+                if len(rows) < max_rows:
+                    rows.append((f.values.to_numpy().copy(), y))
+        if rows:
+            m = calibrated(ftrl([r for i, r in enumerate(rows) if i % CALIBRATE_EVERY]), rows[::CALIBRATE_EVERY])
+            yield pa.RecordBatch.from_arrays([pa.array([m.index], pa.list_(pa.int32())), pa.array([m.weight], pa.list_(pa.float32())), pa.array([m.bias])], ["index", "weight", "bias"])
+
+    return run
 
 
 def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
