@@ -21,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm._base import WORD_BYTES, discard, raw_texts, roots_of, small_batches, sorted_groups, written
@@ -180,6 +180,11 @@ def candidates(signatures: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
 
 
+def _order() -> Column:
+    """By doc_id, null last, then by text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+
+
 def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, th, class_id, n_links, kept) for each row of docs(doc_id, text).
 
@@ -188,7 +193,7 @@ def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     """
     spark = docs.sparkSession
     signatures = signed(docs, width, threshold)
-    sets = written(signatures.filter("sets is not null").groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th")).alias("least")), "sets")
+    sets = written(signatures.filter("sets is not null").groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(_order()).alias("least")), "sets")
     groups = written(candidates(signatures, sets), "candidates")
     info = groups.join(signatures.select("rid", "doc_id", "th", "n"), "rid").join(sets.select(F.col("rep").alias("rid"), "copies"), "rid")
     loads = info.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 6) / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -207,7 +212,7 @@ def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     merged = sets.join(links, "rep", "left").join(whole, "rep", "left").join(least, "component", "left")
     merged = written(merged.select(F.col("sets").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("first")), "classes")
     out = signatures.select("doc_id", "th", "sets").join(merged, F.col("sets") == F.col("of"), "left")
-    own = F.struct("doc_id", "th")
+    own = _order()
     return out.select("doc_id", "th", F.coalesce(F.col("first.doc_id"), "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("first") == own, F.lit(True)).alias("kept"))
 
 
