@@ -88,8 +88,8 @@ p0 AS (SELECT substr(gram, {order + 1}, 1) AS g, {first} FROM c GROUP BY ALL), {
 sc AS (SELECT url, action, n, round(avg(ln(good) - ln(bad)), 9) AS score FROM w JOIN p{order} ON g = gram GROUP BY url, action, n),
 m AS (SELECT min(score) AS low, max(score) AS high FROM sc WHERE action IS NOT NULL),
 b AS (SELECT least(floor((score - low) / ((high - low) / {urlfilter.BINS})), {urlfilter.BINS - 1}) AS bin, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS bad FROM sc, m WHERE action IS NOT NULL GROUP BY ALL),
-v AS (SELECT bin, 1 - coalesce(sum(good) OVER o, 0) / (SELECT sum(good) FROM b) + coalesce(sum(bad) OVER o, 0) / (SELECT sum(bad) FROM b) AS value FROM b WINDOW o AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT low + bin * ((high - low) / {urlfilter.BINS}) AS cut FROM v, m ORDER BY round(value, 12) DESC, bin LIMIT 1)
+v AS (SELECT bin, coalesce(lag(bin) OVER o2, -1) AS last, 1 - coalesce(sum(good) OVER o, 0) / (SELECT sum(good) FROM b) + coalesce(sum(bad) OVER o, 0) / (SELECT sum(bad) FROM b) AS value FROM b WINDOW o AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o2 AS (ORDER BY bin)),
+t AS (SELECT low + (last + 1 + bin) / 2 * ((high - low) / {urlfilter.BINS}) AS cut FROM v, m ORDER BY round(value, 12) DESC, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(a.action, CASE WHEN score < cut THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN a.action IS NULL THEN score END AS score
 FROM a LEFT JOIN sc ON a.url = sc.url AND sc.action IS NOT DISTINCT FROM a.action, t"""
 

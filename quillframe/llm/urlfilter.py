@@ -90,7 +90,7 @@ def scored(urls: DataFrame) -> DataFrame:
 
 
 def threshold(scores: DataFrame) -> float:
-    """The score of best balanced accuracy on decided URLs; the histogram, BINS rows at most, comes to the driver."""
+    """The score of best balanced accuracy on decided URLs, amid the empty bins there; BINS rows at most come to the driver."""
     known = scores.filter("action is not null")
     low, high, kinds = known.agg(F.min("score"), F.max("score"), F.countDistinct("action")).first()
     if kinds is None or kinds < 2 or not high > low:
@@ -99,10 +99,11 @@ def threshold(scores: DataFrame) -> float:
     bins = known.groupBy(F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)).alias("bin"))
     rows = sorted(bins.agg(*[F.sum(F.when(F.col("action") == a, F.col("n")).otherwise(0)).alias(a) for a in ("allow", "block")]).collect())
     all_good, all_bad = sum(r["allow"] for r in rows), sum(r["block"] for r in rows)
-    best, cut, good_below, bad_below = -1.0, low, 0, 0
+    best, cut, good_below, bad_below, last = -1.0, low, 0, 0, -1
     for r in rows:
-        if (value := (1 - good_below / all_good) + bad_below / all_bad) > best:
-            best, cut = value, low + r["bin"] * width
+        if (value := (1 - good_below / all_good) + bad_below / all_bad) > best + 1e-12:
+            best, cut = value, low + (last + 1 + r["bin"]) / 2 * width
+        last = r["bin"]
         good_below, bad_below = good_below + r["allow"], bad_below + r["block"]
     return cut
 
