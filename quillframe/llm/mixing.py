@@ -5,7 +5,7 @@ comes from a seeded hash of its doc_id and source; the Poisson distribution with
 row is emitted so many times, and a hashed key deals all copies out over partitions and orders them there.
 
 By default a source's weight grows with the square root of its rows. The distributions are one row per source with the
-cumulative probabilities; they are broadcast by Spark only while small, else joined by source, where a hot source's rows
+cumulative probabilities, summed as ratios to the first term, so that no mean is too large; they are broadcast by Spark only while small, else joined by source, where a hot source's rows
 are split by adaptive execution, the other side being one row.
 
 Nulls and edge cases: a null source is a source of its own; a source without a target weight in a given table gets 0
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SEED = "mix-1"
 #: Exponent of a source's rows in its default weight.
 FLATTEN = 0.5
-#: The largest mean rate: exp(-x) must not vanish, and no row is repeated without end.
-MAX_MEAN = 500.0
+#: Copies of a row made from one array; rows of more are dealt out in such blocks first.
+BLOCK = 10_000
 
 
 def hashed(*parts: Column) -> Column:
@@ -35,39 +35,51 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(hashed(*parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, weights: DataFrame | None = None, flatten: float = FLATTEN) -> DataFrame:
-    """(source, rows, mean) for every source; weights: a table (source, weight)."""
+def _rated(docs: DataFrame, weights: DataFrame | None, flatten: float) -> tuple[DataFrame, float]:
+    """(source, n, mean) for every source, and the largest mean."""
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(flatten)))
     else:
         given = weights.groupBy(F.col("source").alias("__s")).agg(F.sum("weight").alias("weight"))
         weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "n", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-    rows, weight = weighed.agg(F.sum("n"), F.sum("weight")).first()
+    rows, weight, top = weighed.agg(F.sum("n"), F.sum("weight"), F.max(F.col("weight") / F.col("n"))).first()
     mean = F.col("weight") / F.lit(float(weight)) * F.lit(float(rows)) / F.col("n") if weight else F.lit(0.0)
-    return weighed.select("source", "n", F.least(mean, F.lit(MAX_MEAN)).alias("mean"))
+    return weighed.select("source", "n", mean.alias("mean")), float(top) / float(weight) * float(rows) if weight else 0.0
+
+
+def rates(docs: DataFrame, weights: DataFrame | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """(source, rows, mean) for every source; weights: a table (source, weight)."""
+    return _rated(docs, weights, flatten)[0]
 
 
 def distributions(means: DataFrame) -> DataFrame:
-    """(source, mean, cdf): cumulative probabilities of 0, 1, ... far into the tail."""
-    last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 30).cast("int")
-    start = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
+    """(source, mean, first, cdf): cumulative probabilities of first, first + 1, ...; what lies outside is under exp(-60)."""
+    spread = F.ceil(12 * F.sqrt("mean") + 30)
+    first, last = F.greatest(F.floor("mean") - spread, F.lit(0)).cast("long"), (F.ceil("mean") + spread).cast("long")
+    start = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("sums"))
 
     def step(state: Column, k: Column) -> Column:
         p = state["p"] * F.col("mean") / k
-        return F.struct(p.alias("p"), F.concat(state["cdf"], F.array(F.element_at(state["cdf"], -1) + p)).alias("cdf"))
+        return F.struct(p.alias("p"), F.concat(state["sums"], F.array(F.element_at(state["sums"], -1) + p)).alias("sums"))
 
-    return means.select("source", "mean", F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"]).alias("cdf"))
+    sums = means.select("source", "mean", first.alias("first"), F.aggregate(F.sequence(first + 1, last), start, step, lambda s: s["sums"]).alias("sums"))
+    return sums.select("source", "mean", "first", "sums", F.element_at("sums", -1).alias("whole")).select("source", "mean", "first", F.transform("sums", lambda x: x / F.col("whole")).alias("cdf"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, plain: bool = False) -> DataFrame:
     """docs, each row as often as drawn, dealt out and ordered by a hashed key."""
     names = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
     docs = docs.select(*names)
-    cdf = distributions(rates(docs.select("source"), weights)).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    u = uniform(F.lit(seed), F.col("doc_id"), F.col("source"))
-    drawn = docs.join(cdf, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= u)))
-    copies = drawn.filter("__count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
+    means, top = _rated(docs.select("source"), weights, FLATTEN)
+    cdf = distributions(means).select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf"))
+    drawn = docs.withColumn("__u", uniform(F.lit(seed), F.col("doc_id"), F.col("source"))).join(cdf, F.col("source").eqNullSafe(F.col("__source")))
+    drawn = drawn.withColumn("__count", (F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).cast("int")).filter("__count > 0").drop("__cdf")
+    begin, end = F.lit(1), F.col("__count")
+    if top > BLOCK / 2:
+        drawn = drawn.withColumn("__block", F.explode(F.expr(f"sequence(0, cast((__count - 1) div {BLOCK} as int))"))).repartition("doc_id", "__block")
+        begin, end = F.col("__block") * BLOCK + 1, F.least(F.col("__count"), (F.col("__block") + 1) * BLOCK)
+    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(begin, end)))
     keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(hashed(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("mix_copy"))), 1, 15), 16, 10).cast("bigint"))
     dealt = keyed.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
     return dealt.select(*names, *([] if plain else ["mix_copy", "mix_key"]))

@@ -301,6 +301,35 @@ def test_mixing_counts(spark):
     assert {r["source"] for r in mixing.mixed(d, given).collect()} == {"small"}
 
 
+def test_mixing_of_a_large_mean_is_the_sql(spark):
+    import duckdb
+
+    rows = "SELECT {id} AS doc_id, 't' AS text, CASE WHEN {id} < 1 THEN 'rare' ELSE 'usual' END AS source FROM range(400000)"
+    d = spark.sql(rows.format(id="id"))
+    assert max(r["mean"] for r in mixing.rates(d).collect()) > 600
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS " + rows.format(id="range"))
+    sums = "source, count(*) AS n, sum(mix_copy) AS c, max(mix_copy) AS m, sum(CAST(mix_key % 1000003 AS BIGINT)) AS k, sum(doc_id * mix_copy) AS d"
+    want = con.execute(f"SELECT {sums} FROM ({queries.ORACLES['op9_mixing']}) GROUP BY source ORDER BY source").fetchall()
+    mixing.mixed(d).createOrReplaceTempView("mixed_large_mean")
+    assert [tuple(r) for r in spark.sql(f"SELECT {sums} FROM mixed_large_mean GROUP BY source ORDER BY source").collect()] == [tuple(map(lambda x: int(x) if not isinstance(x, str) else x, r)) for r in want]
+
+
+@pytest.mark.parametrize("block", [10_000, 700])
+def test_mixing_reaches_given_weights(spark, monkeypatch, block):
+    from math import exp, lgamma, log
+
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    d = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text", "if(id < 2, 'small', 'big') AS source")
+    given = spark.createDataFrame([("small", 1.0), ("big", 1.0)], "source string, weight double")
+    got = {r["doc_id"]: (r["n"], r["s"]) for r in mixing.mixed(d, given).filter("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("mix_copy").alias("s")).collect()}
+    for i in (0, 1):
+        u, k, cdf = int(hashlib.md5(f"{mixing.SEED}|{i}|small".encode()).hexdigest()[:13], 16) / 2**52, 0, 0.0
+        while (cdf := cdf + exp(k * log(5000) - 5000 - lgamma(k + 1))) <= u:
+            k += 1
+        assert got[i] == (k, k * (k + 1) // 2)
+
+
 # ---- op10
 
 def shingles(t):
