@@ -1,11 +1,11 @@
 """Personal data: a semi-Markov conditional random field scores whole candidate spans and decodes them jointly.
 
 A region is a stretch of a text that may hold an entity (digits with their separators, or an obfuscated address). Its
-tokens are digit runs, letter runs and single signs. A segment is up to MAX_SEGMENT tokens; its features are of the
-whole span (full match of a kind's form, checksum or range, number of digits, separators, edges, a cue word before).
-Training is by the exact likelihood over all segmentations on examples written from templates below, with
-forward-backward sums; decoding is the best segmentation with kinds. Both are bounded by MAX_SEGMENT, so that the time
-is linear in the text.
+tokens are digit runs, letter runs, masks of signs and single signs. A segment is up to MAX_SEGMENT tokens (MASKED_SEGMENT in an obfuscated
+address, the most that one can have); its features are of the whole span (full match of a kind's form, checksum or
+range, numbers of digits and of their groups, separators, edges, a cue word before). Training is by the exact likelihood
+over all segmentations on examples written from templates below, with forward-backward sums; decoding is the best
+segmentation with kinds, over all segments. Both are bounded, so that the time is linear in the text.
 
 Base spans come from the four fixed expressions and always stay; decoded segments that meet no base span are added.
 Spans are (kind, start, end) in code points, end exclusive. Nulls and edge cases: a null or empty text has no spans;
@@ -79,41 +79,87 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 # ---- the random field
 
 MAX_SEGMENT, MAX_CHARS = 24, 64
-TOKENS = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
+#: The most tokens and characters of a masked address: 64 and 6 x 63 characters, an "at" and five "dot".
+MASKED_SEGMENT, MASKED_CHARS = 466, 483
+MARK = re.compile(r"[(\[](?:at|dot)[)\]]", re.IGNORECASE | re.ASCII)
+TOKENS = re.compile(r"[(\[](?i:at|dot)[)\]]|[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
 REGION = re.compile(r"[+(]?[0-9][0-9().+\x20/_-]{6,}")
-MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]{1,63}){1,5}")
+MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]{1,63}){1,5}")
+#: What goes on after a span.
+GOES_ON = re.compile(r"[\w-]|\.[A-Za-z0-9]|\x20?[(\[](?i:at|dot)[)\]]")
 CUE = {"email": ("mail", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "pay"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 FORMS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|[(\[](?i:at)[)\]])\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9]{4}(?:([\x20./_-])[0-9]{4}){3}"),
     "phone": re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}[-.\x20][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}|00[1-9][0-9]{0,2}(?:[-\x20][0-9]{2,4}){2,4}"),
 }
-N_FEATURES = 16
+ONES = str.maketrans("023456789", "111111111")
+RUNS = re.compile(r"[0-9]+")
+N_FEATURES = 64
 
 
-def features(text: str, start: int, end: int) -> np.ndarray:
-    """Whole-span features, for all kinds: (kind, feature)."""
+def shaped(s: str) -> str:
+    """A span with all digits made 1, but for the zeros it begins with (two at most)."""
+    zeros = 2 if s.startswith("00") else s.startswith("0")
+    return s[:zeros] + s[zeros:].translate(ONES)
+
+
+@lru_cache(maxsize=1 << 16)
+def _form(shape: str) -> tuple[tuple[int, ...], tuple[bool, ...], int]:
+    """Of a shape: its features common to all kinds, the kinds whose form it matches in full, its number of digits."""
+    runs = [len(r) for r in RUNS.findall(shape)]
+    n, signs = sum(runs), set(shape) - set("01()")
+    on = [0, 1 + min(n, 20), 22 + min(len(runs), 6), 29 + min(runs[0] if runs else 0, 8), 38 + min(runs[-1] if runs else 0, 8)]
+    flags = ("/" in shape, "  " in shape, len(shape) > 24, any(c.isalpha() for c in signs), "+" in shape, "(" in shape, shape.startswith("0"), shape.startswith("00"), len(signs) > 1, not signs)
+    return (*on, *(47 + i for i, f in enumerate(flags) if f)), tuple(FORMS[k].fullmatch(shape) is not None for k in KINDS), n
+
+
+def left_of(text: str, start: int) -> tuple[bool, ...]:
+    """Whether a span may begin here, and whether a cue of each kind comes before."""
+    before = text[max(0, start - 16) : start].lower()
+    return (not (before[-1:].isalnum() or before[-1:] in "+.-_" and bool(before[-1:])), *(any(c in before for c in CUE[k]) for k in KINDS))
+
+
+def right_of(text: str, end: int) -> bool:
+    """Whether a span may end here."""
+    return GOES_ON.match(text, end) is None
+
+
+def features(text: str, start: int, end: int, left: tuple[bool, ...], right: bool) -> tuple:
+    """Whole-span features, as a key that many spans share; see vector()."""
     s = text[start:end]
-    digits = digits_of(s)
-    before, after = text[max(0, start - 16) : start].lower(), text[end : end + 1]
-    common = np.zeros(N_FEATURES)
-    common[0] = 1
-    common[1 + min(5, len(digits) // 4)] = 1
-    common[7] = not (before[-1:].isalnum() or before[-1:] in "+.-_" and bool(before[-1:]))
-    common[8] = not (after.isalnum() or after in "-_" and bool(after))
-    common[9] = "/" in s
-    common[10] = "  " in s
-    common[11] = end - start > 24
-    out = np.tile(common, (len(KINDS), 1))
+    on, full, n = _form(shaped(s))
+    sums = 12 < n < 20 and luhn(digits_of(s))
+    in_range = full[1] and all(int(p) <= 255 for p in s.split("."))
+    return on, full, sums, in_range, left, right
+
+
+def vector(key: tuple) -> np.ndarray:
+    """The features of a key, for all kinds: (kind, feature)."""
+    on, full, sums, in_range, left, right = key
+    out = np.zeros((len(KINDS), N_FEATURES))
+    out[:, list(on)] = 1
+    out[:, 57], out[:, 58] = left[0], right
     for k, kind in enumerate(KINDS):
-        full = FORMS[kind].fullmatch(s) is not None
-        holds = full and (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in s.split(".")) or kind == "card" and luhn(digits) or kind == "phone")
-        out[k, 12:16] = full, holds, any(c in before for c in CUE[kind]), full and not holds
+        holds = full[k] and (sums if kind == "card" else in_range if kind == "ip" else True)
+        out[k, 59:64] = full[k], holds, left[1 + k], full[k] and not holds, kind == "card" and sums
     return out
 
 
-def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
+def keys_of(text: str, edges: list[int], pairs: list[tuple[int, int]]) -> Iterator[tuple]:
+    """The keys of candidate segments, which come by their beginnings."""
+    last, left, right = -1, (), {}
+    for i, j in pairs:
+        if i != last:
+            last, left = i, left_of(text, edges[i])
+            right = {k: v for k, v in right.items() if k > i}
+        if j not in right:
+            right[j] = right_of(text, edges[j])
+        yield features(text, edges[i], edges[j], left, right[j])
+
+
+def segments(text: str, start: int, end: int, tokens: int = MAX_SEGMENT, chars: int = MAX_CHARS) -> tuple[list[int], list[tuple[int, int]]]:
     """Token edges of a region, and the candidate segments as pairs of token positions."""
     edges = [start, *(m.end() for m in TOKENS.finditer(text, start, end))]
     out = []
@@ -121,8 +167,8 @@ def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int
         first = text[edges[i]]
         if not (first.isalnum() or first in "(+"):
             continue
-        for j in range(i + 3, min(i + MAX_SEGMENT, len(edges) - 1) + 1):
-            if edges[j] - edges[i] > MAX_CHARS:
+        for j in range(i + 1, min(i + tokens, len(edges) - 1) + 1):
+            if edges[j] - edges[i] > chars:
                 break
             if text[edges[j] - 1].isalnum():
                 out.append((i, j))
@@ -158,54 +204,68 @@ def _examples(count: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[int,
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuw") for _ in range(r.randint(3, 8)))
 
-    def card() -> str:
-        body = r.choice("3456") + num(14)
-        full = body + next(d for d in "0123456789" if luhn(body + d))
-        return r.choice("./_ -").join(full[i : i + 4] for i in range(0, 16, 4))
+    def card(right: bool = True) -> str:
+        sizes = r.choice([(4, 4, 4, 4), (4, 6, 5)])
+        body = r.choice("3456") + num(sum(sizes) - 2)
+        full, sign = body + r.choice([d for d in "0123456789" if luhn(body + d) == right]), r.choice("./_ -")
+        return sign.join(full[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+
+    def email() -> str:
+        name = r.choice([lambda: f"{word()}.{num(2)}", word, lambda: f"{word()}.{word()}", lambda: f"{word()}.{word()}-{word()}", lambda: f"{word()}_{num(3)}"])()
+        at, dot = r.choice([" (at) ", "(at)", " [at] ", " (AT) ", "[AT]"]), r.choice([".", " (dot) ", "[dot]", " [DOT] "])
+        return name + at + r.choice([word, lambda: f"{word()}.{word()}", lambda: f"{word()}-{word()}{dot}{word()}"])() + dot + r.choice(["com", "org", f"co{dot}uk"])
 
     makers = {
-        "email": lambda: f"{word()}.{num(2)}{r.choice([' (at) ', '(at)', ' [at] '])}{word()}{r.choice(['.', ' (dot) '])}{r.choice(['com', 'org'])}",
+        "email": email,
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0049 {num(3)} {num(3)} {num(4)}"]),
-    }
+        "phone": lambda: r.choice([
+            lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0049 {num(3)} {num(3)} {num(4)}", lambda: f"{num(3)} {num(3)} {num(4)}",
+            lambda: f"1 {num(3)} {num(7)}", lambda: f"1{r.choice('- ')}{num(3)}-{num(3)}-{num(4)}", lambda: f"0{r.choice('23456789')}{num(1)}/{num(7)}", lambda: f"0{num(3)}/{num(7)}", lambda: num(10),
+        ])(),
+    }
     others = [
         lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(1)}.{num(2)}.{num(1)}", lambda: num(12), lambda: f"{num(3)} {num(3)} {num(3)}",
-        lambda: ".".join(r.choice(["999", "300", "512"]) for _ in range(4)), lambda: "-".join(num(4) for _ in range(4)), lambda: f"{num(3)}.{num(3)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(5)}-{num(7)}",
+        lambda: ".".join(r.choice(["999", "300", "512"]) for _ in range(4)), lambda: card(False), lambda: f"{num(3)}.{num(3)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(5)}-{num(7)}",
+        lambda: num(10), lambda: num(r.randint(1, 9)), lambda: num(r.randint(11, 20)), lambda: f"{num(1)} {num(3)} {num(3)} {num(3)}", lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(4)}-{num(2)}-{num(2)} {num(2)}",
+        lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: f"{num(4)}/{num(4)}", lambda: f"{num(4)} {num(4)}", lambda: " ".join(num(r.randint(1, 5)) for _ in range(r.randint(2, 6))), lambda: ".".join(num(r.randint(1, 4)) for _ in range(r.randint(2, 5))),
     ]
+    cues = {"email": ["mail", "contact"], "ip": ["ip", "host"], "card": ["card", "visa"], "phone": ["tel", "phone", "call", "fax"]}
     for _ in range(count):
         text, gold = "", []
         for _ in range(r.randint(1, 3)):
-            text += r.choice([word(), word() + ",", "tel", "phone", "card", "ip", "mail"]) + " "
-            if r.random() < 0.6:
-                kind = r.choice(KINDS)
-                s = makers[kind]()
+            kind = r.choice(KINDS) if r.random() < 0.5 else None
+            s = makers[kind]() if kind else r.choice(others)()
+            # ten bare digits are a phone after a cue only
+            told = kind and (s.isdigit() or r.random() < 0.5)
+            text += (r.choice(cues[kind]) + r.choice(["", ":"]) if told else r.choice([word(), word() + ",", "id", "order", "born", "sum"])) + " "
+            if kind:
                 gold.append((len(text), len(text) + len(s), kind))
-            else:
-                s = r.choice(others)()
-            text += s + r.choice([" ", ". ", ", "])
+            text += s + r.choice([" ", ". ", ", "]) + word() + " "
         yield text, gold
 
 
 @lru_cache(maxsize=1)
-def fitted(count: int = 240, epochs: int = 4, rate: float = 0.15, decay: float = 1e-3) -> np.ndarray:
+def fitted(count: int = 700, epochs: int = 4, rate: float = 0.15, decay: float = 1e-3) -> np.ndarray:
     """Weights (kind, feature) by gradient steps on the likelihood of whole segmentations."""
-    rows = []
+    rows, known = [], {}
     for text, gold in _examples(count):
-        edges, pairs = segments(text, 0, len(text))
+        edges, pairs = segments(text, 0, len(text), 32, 96)
         place = {e: i for i, e in enumerate(edges)}
-        x = np.array([features(text, edges[i], edges[j]) for i, j in pairs])
+        x = np.array([known.setdefault(k, len(known)) for k in keys_of(text, edges, pairs)])
         truth = np.zeros((len(pairs), len(KINDS)))
         spans = {(place.get(a), place.get(b)): RANK[k] for a, b, k in gold}
         for n, p in enumerate(pairs):
             if p in spans:
                 truth[n, spans[p]] = 1
         rows.append((x, pairs, len(edges) - 1, truth))
+    vectors = np.array([vector(k) for k in known], dtype=np.float32)
     w = np.zeros((len(KINDS), N_FEATURES))
     for _ in range(epochs):
         for x, pairs, n, truth in rows:
             if not pairs:
                 continue
+            x = vectors[x]
             s = np.einsum("nkf,kf->nk", x, w)
             whole = np.logaddexp.reduce(s, axis=1)
             ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
@@ -227,26 +287,38 @@ def fitted(count: int = 240, epochs: int = 4, rate: float = 0.15, decay: float =
 def finder(weights: np.ndarray) -> Callable[[str | None], tuple[list, list]]:
     """A function from a text to its base spans and its added spans."""
 
+    known: dict[tuple, np.ndarray] = {}
+
+    def score(key: tuple) -> np.ndarray:
+        if key not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[key] = (vector(key) * weights).sum(axis=1)
+        return known[key]
+
     def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         base = base_spans(text)
         if not text:
             return base, []
-        regions = [m.span() for m in REGION.finditer(text)] if DIGIT.search(text) else []
-        if "at)" in text or "at]" in text:
-            regions += [m.span() for m in MASKED.finditer(text)]
-        taken, added = sorted((a, b) for _, a, b in base), []
-        for a, b in regions:
-            edges, pairs = segments(text, a, b)
-            pairs = [p for p in pairs if any(f.fullmatch(text, edges[p[0]], edges[p[1]]) for f in FORMS.values())]
+        regions = [(*m.span(), MAX_SEGMENT, MAX_CHARS) for m in REGION.finditer(text)] if DIGIT.search(text) else []
+        if MARK.search(text):
+            regions = [(*m.span(), MASKED_SEGMENT, MASKED_CHARS) for m in MASKED.finditer(text)] + regions
+        added: list[tuple[str, int, int]] = []
+        if not regions:
+            return base, added
+        taken = bytearray(len(text))
+        for _, s, e in base:
+            taken[s:e] = b"\1" * (e - s)
+        for a, b, tokens, chars in regions:
+            edges, pairs = segments(text, a, b, tokens, chars)
             if not pairs:
                 continue
-            x = np.array([features(text, edges[i], edges[j]) for i, j in pairs])
-            scores = np.einsum("nkf,kf->nk", x, weights)
+            scores = np.array([score(k) for k in keys_of(text, edges, pairs)])
             for i, j, kind in best(scores, pairs, len(edges) - 1):
                 s, e = edges[i], edges[j]
-                if not any(p < e and s < q for p, q in taken):
+                if taken.find(1, s, e) < 0:
                     added.append((KINDS[kind], s, e))
-                    taken.append((s, e))
+                    taken[s:e] = b"\1" * (e - s)
         return base, added
 
     return spans

@@ -85,6 +85,20 @@ def test_pii_adds_and_keeps(spark):
     assert rows[4]["spans"] == ""
 
 
+@pytest.mark.parametrize("kind, s", [
+    ("phone", "555 123 4567"), ("phone", "1 555 1234567"), ("phone", "030/1234567"), ("phone", "5551234567"), ("phone", "(555) 123-4567"), ("card", "3782 822463 10005"), ("card", "3714-496353-98431"),
+    ("email", "first.last-name (at) sub.example (dot) co (dot) uk"), ("email", "jane.doe (AT) example [DOT] org"), ("email", "some.one-with-a-long-name (at) a-rather-long.host-name.example (dot) co (dot) uk"),
+])
+def test_pii_boundaries_outside_the_forms(kind, s):
+    cue = {"phone": "phone", "card": "visa", "email": "contact"}[kind]
+    assert pii.finder(pii.fitted())(f"my {cue} {s}, and more")[1] == [(kind, 4 + len(cue), 4 + len(cue) + len(s))]
+
+
+@pytest.mark.parametrize("s", ["5551234567", "1999-10-12", "1999-10-12 10", "3782 822463 10006", "978-3-16-148410-0", "1 234 567 890", "123-45-6789", "20240131123000", "3.141592653"])
+def test_pii_leaves_other_numbers(s):
+    assert pii.finder(pii.fitted())(f"the order {s}, and more")[1] == []
+
+
 def test_pii_time_is_linear():
     import time
 
