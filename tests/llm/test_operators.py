@@ -264,6 +264,43 @@ def test_split_buckets_count_once(spark, monkeypatch):
     assert {g["n_links"] for g in got} == {49} and {g["component_id"] for g in got} == {0}
 
 
+def test_short_vectors_meet(spark):
+    r, rows, want = np.random.default_rng(12), [], {}
+    for dim in (1, 2, 3, 4, 6, 8):
+        x = r.normal(size=(1200, dim)).astype(np.float32)
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        want |= {len(rows) + i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.9 - 1e-12).sum(axis=1))}
+        rows += [(len(rows) + i, list(map(float, v))) for i, v in enumerate(x)]
+    got = {g["vec_id"]: g["n_links"] for g in capjoin.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    for d in range(6):
+        ids = range(d * 1200, d * 1200 + 1200)
+        assert all(got[i] <= want[i] for i in ids) and sum(got[i] for i in ids) >= 0.995 * sum(want[i] for i in ids), d
+
+
+def test_lone_pairs_of_short_vectors(spark):
+    rows, side = [], np.sqrt(1 - 0.901**2)
+    for dim in (2, 3, 4, 5, 6):
+        for i in range(dim):
+            for sign in (1.0, -1.0):
+                axis, next_ = sign * np.eye(dim)[i], sign * np.eye(dim)[(i + 1) % dim] * (1 if i + 1 < dim or dim > 2 else -1)
+                rows += [(len(rows), list(map(float, axis))), (len(rows) + 1, list(map(float, 0.901 * axis + side * next_)))]
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in capjoin.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("dim, n, threshold", [(2, 1000, 0.9), (3, 1000, 0.9), (4, 100_000, 0.9), (8, 20_000, 0.9), (64, 20_000, 0.3)])
+def test_lists_reach_the_target(dim, n, threshold):
+    plan = capjoin.planned(dim, n, threshold)
+    r = np.random.default_rng(99)
+    x, y = r.normal(size=(2, 1000, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (y * x).sum(axis=1)[:, None] * x
+    y = threshold * x + np.sqrt(1 - threshold**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    code = capjoin.Code(dim, *plan)
+    met = sum(bool(set(a) & set(b)) for i in range(0, 1000, 50) for a, b in zip(code.decode(x[i : i + 50]).tolist(), code.decode(y[i : i + 50]).tolist()))
+    assert met >= 985, plan
+
+
 # ---- op8
 
 def test_toxicity(spark):
