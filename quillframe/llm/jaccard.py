@@ -1,9 +1,12 @@
 """N-gram Jaccard join: MinHash LSH forest for candidates, exact verification of shingle sets.
 
 A text's shingles are its runs of SHINGLE words (a shorter text has one of all its words), as 64-bit hashes. Each of
-TREES trees orders the texts by DEPTH MinHash values; texts that share a prefix meet. The prefix begins at DEPTH values
-and is shortened until a pair at the threshold meets in some tree with probability TARGET or more. Texts of equal
-shingle sets are one class throughout, so that copies are never paired.
+TREES trees (more where a low threshold needs them) has a prefix of up to DEPTH MinHash values for each text; texts that
+share a prefix meet. All texts begin with the longest prefix by which a pair at the threshold meets in some tree with
+probability TARGET or more. For texts that met no other, it is then shortened level by level, and they meet whatever
+shares the shorter one, until they met a text or a pair meets with probability LONE_TARGET. The levels are tables of
+hashed prefixes, grouped by equality; no sorted tree is kept. Texts of equal shingle sets are one class throughout, so
+that copies are never paired.
 
 Texts that meet form candidate groups (connected components over links to the least text of each prefix). Within a group
 all pairs are compared exactly: the group's texts come to one task, or, above BLOCK_ROWS texts or BLOCK_BYTES bytes, to
@@ -17,6 +20,7 @@ like other copies. A null doc_id is never a class's least id. Only doc_id and te
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -29,6 +33,8 @@ from quillframe.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 32, 8, 0.999
+#: The probability down to which prefixes are shortened for texts that met no other.
+LONE_TARGET = 0.9999
 BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 PIECE = 1 << 20
 
@@ -40,6 +46,22 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return depth
 
 
+def n_trees(threshold: float = THRESHOLD) -> int:
+    """TREES, or as many as it takes for a pair at the threshold to meet often enough by prefixes of one value."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"no number of trees reaches the target at the threshold {threshold}")
+    return TREES if threshold == 1 else max(TREES, int(np.ceil(np.log1p(-TARGET) / np.log1p(-threshold))))
+
+
+def prefix_lengths(threshold: float = THRESHOLD) -> list[int]:
+    """The prefix length of all texts, then the shorter ones of texts that met no other."""
+    trees = n_trees(threshold)
+    out = [prefix_length(threshold, trees)]
+    while out[-1] > 1 and 1 - (1 - threshold ** out[-1]) ** trees < LONE_TARGET:
+        out.append(out[-1] - 1)
+    return out
+
+
 class Shingler:
     """Texts to their sorted distinct shingle hashes; remembers frequent words."""
 
@@ -78,23 +100,26 @@ def factors(trees: int, depth: int) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def prefixes(shingles: np.ndarray, multipliers: np.ndarray, trees: int) -> np.ndarray:
-    """One 64-bit key for each tree: the tree and the MinHash values of its prefix."""
+def prefixes(shingles: np.ndarray, multipliers: np.ndarray, trees: int, lengths: list[int]) -> list[np.ndarray]:
+    """For each length one 64-bit key for each tree: the tree and the MinHash values of its prefix."""
     folded = ((shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(multipliers), 0xFFFFFFFF, dtype=np.uint32)
     for a in range(0, len(folded), 256):
         np.minimum(least, (folded[a : a + 256, None] * multipliers[None, :]).min(axis=0), out=least)
     key = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    at = []
     for column in least.reshape(trees, -1).T:
         key = (key ^ column) * np.uint64(0x94D049BB133111EB)
         key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+        at.append(key.view(np.int64))
+    return [at[n - 1] for n in lengths]
 
 
 def signed(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """A written row for each document: rid, doc_id, th (hash of the text), sets (key of the shingle set), n, keys."""
+    """A written row for each document: rid, doc_id, th (hash of the text), sets (key of the shingle set), n, keys0, keys1, ... by prefix length."""
     small_batches(docs.sparkSession)
-    multipliers = factors(TREES, prefix_length(threshold))
+    trees, lengths = n_trees(threshold), prefix_lengths(threshold)
+    multipliers, names = factors(trees, lengths[0]), [f"keys{i}" for i in range(len(lengths))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -104,10 +129,10 @@ def signed(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
                 s = shingle(raw)
                 n.append(len(s))
                 sets.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(prefixes(s, multipliers, TREES) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "th")), pa.array(sets, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "sets", "n", "keys"])
+                keys.append(prefixes(s, multipliers, trees, lengths) if len(s) else [None] * len(lengths))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "th")), pa.array(sets, pa.binary()), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in range(len(lengths)))], ["doc_id", "th", "sets", "n", *names])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, sets binary, n long, keys array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, sets binary, n long, " + ", ".join(f"{k} array<long>" for k in names))
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
@@ -171,12 +196,20 @@ def _verifier(width: int, threshold: float):
 
 def candidates(signatures: DataFrame, sets: DataFrame) -> DataFrame:
     """(rid, comp): texts that meet another in some tree, by candidate group."""
-    keys = signatures.join(sets.select(F.col("rep").alias("rid")), "rid").select("rid", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("of"), "least")
-    shared = written(shared, "prefixes")
-    edges = keys.join(shared, F.col("key") == F.col("of")).filter("rid != least").select(F.col("rid").alias("a"), F.col("least").alias("b"))
-    found = components(edges)
-    discard(shared)
+    own, edges = signatures.join(sets.select(F.col("rep").alias("rid")), "rid"), []
+    for level in (c for c in signatures.columns if c.startswith("keys")):
+        rows = own.select("rid", level).withColumn("lone", F.lit(True))
+        if edges:
+            met = reduce(DataFrame.unionByName, edges).select(F.explode(F.array("a", "b")).alias("rid")).distinct().withColumn("met", F.lit(True))
+            rows = own.select("rid", level).join(met, "rid", "left").withColumn("lone", F.col("met").isNull())
+        keys = rows.select("rid", "lone", F.explode(level).alias("key"))
+        shared = keys.groupBy("key").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("n"), F.max("lone").alias("any")).filter("n > 1 and any").select(F.col("key").alias("of"), "least")
+        shared = written(shared, "prefixes")
+        edges.append(written(keys.join(shared, F.col("key") == F.col("of")).filter("rid != least").select(F.col("rid").alias("a"), F.col("least").alias("b")), "met"))
+        discard(shared)
+    found = components(reduce(DataFrame.unionByName, edges))
+    for e in edges:
+        discard(e)
     return found.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
 
 

@@ -429,6 +429,28 @@ def test_jaccard(spark, monkeypatch, block):
     assert jaccard.linked(repeated(spark, rows).limit(0)).count() == 0
 
 
+def test_lone_texts_meet_by_shorter_prefixes(spark):
+    shingle, lengths = jaccard.Shingler(), jaccard.prefix_lengths()
+    multipliers, missed = jaccard.factors(jaccard.TREES, lengths[0]), []
+    for i in range(8000):
+        pair = [" ".join([*(f"q{i}x{j}" for j in range(12)), last]) for last in ("here", "there")]
+        a, b = (jaccard.prefixes(shingle(t.encode()), multipliers, jaccard.TREES, lengths)[0] for t in pair)
+        if not (a == b).any():
+            missed.append(pair)
+    assert 1 <= len(missed) <= 20
+    rows = [(i, t) for i, t in enumerate(t for pair in missed for t in pair)]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.linked(repeated(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(len(rows)), 1)
+
+
+def test_enough_trees_for_low_thresholds():
+    for t in (0.05, 0.15, 0.5, 0.8):
+        k, trees = jaccard.prefix_lengths(t)[0], jaccard.n_trees(t)
+        assert 1 - (1 - t**k) ** trees >= jaccard.TARGET
+    with pytest.raises(ValueError, match="target"):
+        jaccard.n_trees(0)
+
+
 def test_prefix_reaches_the_target():
     k = jaccard.prefix_length()
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
