@@ -5,14 +5,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
+#: Used only where the cluster names no shared folder and all tasks run in the driver's process, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Keys are hot that hold more than one in so many rows; there are fewer than that.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and all executors see."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,3 +43,13 @@ def discard(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int, rows: str = "rows") -> DataFrame:
+    """left joined with right, which has one row for each key and the number of left's rows with it; total is left's number of rows.
+
+    Hot keys, fewer than HOT_KEYS, are broadcast, so that no task gets all the rows of one; the others meet by a shuffle.
+    """
+    hot = F.broadcast(right.filter(F.col(rows) * HOT_KEYS > total).drop(rows))
+    cold = right.filter(F.col(rows) * HOT_KEYS <= total).drop(rows)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
