@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.plans.tables import discard, scratch, written  # noqa: F401
+from quillframe.plans.tables import discard, lookup, scratch, written  # noqa: F401
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,6 +32,17 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def grouped_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str, bounded: bool = False) -> DataFrame:
     """df with out, the gapless rank from 0 of each row in its group.
 
@@ -78,6 +89,33 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a stream that is sorted by integer keys: tables of about so many rows, or of one larger group, with the groups' edges."""
+    held: list[pa.Table] = []
+    for group in sorted_groups(batches, keys):
+        held.append(group)
+        if sum(g.num_rows for g in held) >= rows:
+            yield pa.concat_tables(held).combine_chunks(), np.cumsum([0, *(g.num_rows for g in held)])
+            held = []
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.cumsum([0, *(g.num_rows for g in held)])
+
+
+def pairs_within(edges: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions (a < b) inside the groups between the edges, at most about so many at once."""
+    last = np.repeat(edges[1:], np.diff(edges))
+    partners = last - np.arange(len(last)) - 1
+    upto, at = np.cumsum(partners), 0
+    while at < len(partners):
+        done = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, done + most, side="right")))
+        n = partners[at:end]
+        a = np.repeat(np.arange(at, end), n)
+        if len(a):
+            yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        at = end
+
+
 def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest position connected with each of n positions by the given links."""
     parent = np.arange(n)

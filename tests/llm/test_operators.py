@@ -419,41 +419,91 @@ def near_copies(seed=9):
 @pytest.mark.parametrize("block", [2048, 3])
 def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard, "PAIRS", block)
     texts = [*near_copies(), None, "", "", "one two", "One, TWO!", "!!!", "solo"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, "alone here")]
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.linked(repeated(spark, rows)).collect())
     assert got == Counter(brute_links(rows))
+    d = repeated(spark, rows).withColumns({"own": F.lit(7), "D": F.lit(8), "a.b": F.lit(9)})
+    kept = jaccard.kept(d)
+    assert kept.columns == d.columns and {(r["own"], r["D"], r["a.b"]) for r in kept.collect()} == {(7, 8, 9)}
     kept = jaccard.kept(repeated(spark, rows))
     classes = {c if s else ("none", i, t) for (i, t), (_, c, _), s in zip(rows, brute_links(rows), [shingles(t) for _, t in rows])}
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ") and kept.count() == len(classes)
     assert jaccard.linked(repeated(spark, rows).limit(0)).count() == 0
 
 
-def test_lone_texts_meet_by_shorter_prefixes(spark):
-    shingle, lengths = jaccard.Shingler(), jaccard.prefix_lengths()
-    multipliers, missed = jaccard.factors(jaccard.TREES, lengths[0]), []
-    for i in range(8000):
-        pair = [" ".join([*(f"q{i}x{j}" for j in range(12)), last]) for last in ("here", "there")]
-        a, b = (jaccard.prefixes(shingle(t.encode()), multipliers, jaccard.TREES, lengths)[0] for t in pair)
-        if not (a == b).any():
-            missed.append(pair)
-    assert 1 <= len(missed) <= 20
-    rows = [(i, t) for i, t in enumerate(t for pair in missed for t in pair)]
-    got = {r["doc_id"]: r["n_links"] for r in jaccard.linked(repeated(spark, rows)).collect()}
-    assert got == dict.fromkeys(range(len(rows)), 1)
+def depths_of(spark, texts):
+    d = repeated(spark, list(enumerate(texts)))
+    signatures = jaccard.signed(d)
+    sets = signatures.filter("sets is not null").groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    found, depths = jaccard.joined(d, signatures, sets, jaccard.SHINGLE, jaccard.THRESHOLD)
+    return found.agg(F.sum("links")).first()[0], depths
+
+
+def test_prefixes_shorten_until_the_links_found_reach_the_target(spark):
+    body = lambda i, n: " ".join(f"q{i}x{j}" for j in range(n))
+    close = [f"{body(i, 400)} {last}" for i in range(400) for last in ("here", "there")]
+    assert depths_of(spark, close) == (800, [10])
+    edge = [f"{body(i, 12)} {last}" for i in range(1500) for last in ("here", "there")]
+    links, depths = depths_of(spark, edge)
+    assert links >= 2 * 1499 and depths == [10, 6]
+    middle = [f"{body(i, 17)} {last}" for i in range(4000) for last in ("here", "there")]
+    links, depths = depths_of(spark, middle)
+    assert links >= 7998 and depths == [10, 9]
+
+
+def test_next_depth_by_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        counts, threshold, trees = r.integers(0, 10 ** r.integers(1, 7), 40), float(r.choice([0.5, 0.8, 0.9])), 32
+        for depth in range(jaccard.DEPTH, 0, -1):
+            there = [(n + (b == 0)) / (1 - (1 - (threshold + (1 - threshold) * b / 40) ** depth) ** trees) for b, n in enumerate(counts)]
+            share = lambda d: sum(t * (1 - (threshold + (1 - threshold) * b / 40) ** d) ** trees for b, t in enumerate(there)) / sum(there)  # noqa: E731, B023
+            floor = jaccard.floor_depth(threshold, trees)
+            want = None if depth <= floor or share(depth) <= 1 - jaccard.TARGET else max([d for d in range(floor, depth) if share(d) <= 1 - jaccard.TARGET], default=floor)
+            assert jaccard.next_depth(counts, depth, threshold, trees) == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_forest_is_the_sorted_signatures(spark, parts):
+    r = np.random.default_rng(parts)
+    heads = r.integers(0, 3, (90, 1 + jaccard.DEPTH))
+    rows = []
+    for i, h in enumerate(heads):
+        keys = np.stack([h, h[::-1]]).astype(">u2")
+        keys[:, 0] = (0, 1)
+        rows.append((i, 1, bytearray(keys.tobytes())))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = jaccard.forest(spark.createDataFrame(rows, "rid long, n int, sig binary").repartition(parts), 2).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = sorted((bytes(k[i * jaccard.WIDTH : (i + 1) * jaccard.WIDTH]), rid) for rid, _, k in rows for i in (0, 1))
+    same = lambda a, b: 0 if a[:2] != b[:2] else next((i for i in range(jaccard.DEPTH) if a[2 + 2 * i : 4 + 2 * i] != b[2 + 2 * i : 4 + 2 * i]), jaccard.DEPTH)
+    want = {(k, rid): (same(every[i - 1][0], k) if i else 0, same(k, every[i + 1][0]) if i + 1 < len(every) else 0) for i, (k, rid) in enumerate(every)}
+    assert {(bytes(g["key"]), g["rid"]): (g["before"], g["after"]) for g in got} == want
 
 
 def test_enough_trees_for_low_thresholds():
     for t in (0.05, 0.15, 0.5, 0.8):
-        k, trees = jaccard.prefix_lengths(t)[0], jaccard.n_trees(t)
-        assert 1 - (1 - t**k) ** trees >= jaccard.TARGET
+        assert jaccard.meeting(t, jaccard.floor_depth(t, jaccard.n_trees(t)), jaccard.n_trees(t)) >= jaccard.TARGET - 1e-12
     with pytest.raises(ValueError, match="target"):
         jaccard.n_trees(0)
 
 
-def test_prefix_reaches_the_target():
-    k = jaccard.prefix_length()
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+def test_low_threshold(spark):
+    texts = [" ".join(f"w{i}" for i in range(s, s + 20)) for s in range(0, 60, 4)]
+    rows = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(j != i and len(a & b) >= 0.3 * len(a | b) - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.linked(repeated(spark, rows), threshold=0.3).collect()} == want and any(want.values())
+
+
+def test_pairs_within():
+    from quillframe.llm._base import pairs_within
+
+    edges = np.array([0, 3, 4, 4, 9])
+    got = [(int(x), int(y)) for a, b in pairs_within(edges, 4) for x, y in zip(a, b)]
+    assert got == [(a, b) for s, e in zip(edges, edges[1:]) for a in range(s, e) for b in range(a + 1, e)]
 
 
 def test_intersections():
