@@ -163,36 +163,38 @@ def _keys(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u2").reshape(len(column), -1)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows with the prefix lengths shared with the row before and after; those at the partition's ends are -1 and the rows marked with its number."""
-    from pyspark import TaskContext
-
-    part, held, before = TaskContext.get().partitionId(), None, -1
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        shared = common(_keys(rows.column(0)))
-        n = rows.num_rows - 1
-        if n:
-            ahead = np.concatenate(([before], shared[:-1])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(c.slice(0, n) for c in rows.columns), pa.array(ahead), pa.array(shared), pa.array([part if b < 0 else None for b in ahead.tolist()], pa.int32())], [*rows.schema.names, "before", "after", "part"])
-            before = int(shared[-1])
-        held = rows.slice(n)
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int32()), pa.array([-1], pa.int32()), pa.array([part], pa.int32())], [*held.schema.names, "before", "after", "part"])
-
-
-def forest(own: DataFrame, trees: int) -> DataFrame:
+def _neighbours(floor: int):
+    """Sorted rows with the prefix lengths shared with the row before and after, where one is floor or more; at the partition's ends they are -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            after = common(_keys(rows.column(0)))
+            n = rows.num_rows - 1
+            ahead = np.concatenate(([before], after[:-1])).astype(np.int32)[:n]
+            some = pa.array(np.flatnonzero((np.maximum(ahead, after) >= floor) | (ahead < 0)))
+            yield pa.RecordBatch.from_arrays([*(c.take(some) for c in rows.columns), pa.array(ahead).take(some), pa.array(after).take(some)], [*rows.schema.names, "before", "after"])
+            held, before = rows.slice(n), int(after[-1]) if n else before
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int32()), pa.array([-1], pa.int32())], [*held.schema.names, "before", "after"])
+
+    return run
+
+
+def forest(own: DataFrame, trees: int, floor: int) -> DataFrame:
     """own(rid, n, sig) as written trees: (key, rid, n, before, after), dealt out by ranges of (key, rid) and sorted.
 
-    Two rows of each partition come to the driver, to compare each with the one across the border.
+    Rows that share no prefix of floor labels aren't kept. Two rows of each partition come to the driver, to compare each with
+    the one across the border.
     """
     small_batches(own.sparkSession)
     cut = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.substring("sig", i * WIDTH + 1, F.lit(WIDTH)))
     rows = own.select(F.explode(cut).alias("key"), "rid", "n").repartitionByRange("key", "rid").sortWithinPartitions("key", "rid")
-    placed = written(rows.mapInArrow(_neighbours, "key binary, rid long, n int, before int, after int, part int"), "forest")
-    ends = sorted((bytes(r["key"]), r["rid"], r["before"], r["after"]) for r in placed.filter("part is not null").select("key", "rid", "before", "after").collect())
+    placed = written(rows.mapInArrow(_neighbours(floor), "key binary, rid long, n int, before int, after int"), "forest")
+    ends = sorted((bytes(r["key"]), r["rid"], r["before"], r["after"]) for r in placed.filter("before < 0 or after < 0").select("key", "rid", "before", "after").collect())
     fixed = [[key, rid, max(before, 0), max(after, 0)] for key, rid, before, after in ends]
     for left, right, a, b in zip(ends, ends[1:], fixed, fixed[1:]):
         if left[3] < 0 and right[2] < 0:
@@ -331,8 +333,8 @@ def joined(docs: DataFrame, signatures: DataFrame, sets: DataFrame, width: int,
     """(rid, links, root), in parts, of the texts with links, and the depths that the prefixes were shortened to."""
     trees = n_trees(threshold)
     own = signatures.join(sets.select(F.col("rep").alias("rid"), "copies"), "rid")
-    placed = forest(own.select("rid", "n", "sig"), trees)
     floor = floor_depth(threshold, trees)
+    placed = forest(own.select("rid", "n", "sig"), trees, floor)
     near = placed.filter(F.greatest("before", "after") >= floor)
     total = near.count()
     info = written(own.join(near.select("rid").distinct(), "rid").select("rid", "copies", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t")), "forest-texts")

@@ -288,17 +288,53 @@ def test_lone_pairs_of_short_vectors(spark):
     assert got == {i: (1, i - i % 2) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("dim, n, threshold", [(2, 1000, 0.9), (3, 1000, 0.9), (4, 100_000, 0.9), (8, 20_000, 0.9), (64, 20_000, 0.3)])
+@pytest.mark.parametrize("dim, n, threshold", [(2, 1000, 0.9), (3, 1000, 0.9), (4, 100_000, 0.9), (8, 20_000, 0.9), (64, 500, 0.9), (64, 50_000, 0.9), (64, 10**9, 0.9), (64, 20_000, 0.3)])
 def test_lists_reach_the_target(dim, n, threshold):
-    plan = capjoin.planned(dim, n, threshold)
-    r = np.random.default_rng(99)
-    x, y = r.normal(size=(2, 1000, dim))
+    size, height = capjoin.planned(dim, n, threshold)
+    code, (x, y) = capjoin.Codes(dim, size), capjoin.pairs_at(dim, threshold, 1000, 99)
+    (p, f), (q, g) = code.lists(x, height), code.lists(y, height)
+    lists = [[set(names[rows == i].tolist()) for i in range(1000)] for rows, names in ((p, f), (q, g))]
+    assert sum(bool(a & b) for a, b in zip(*lists)) >= 985 and (size or dim < 3 or threshold < 0.5), (size, height)
+
+
+def test_list_decoding_finds_all_directions():
+    code, r = capjoin.Codes(10, 6), np.random.default_rng(1)
+    x = r.normal(size=(40, 10))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y -= (y * x).sum(axis=1)[:, None] * x
-    y = threshold * x + np.sqrt(1 - threshold**2) * y / np.linalg.norm(y, axis=1)[:, None]
-    code = capjoin.Code(dim, *plan)
-    met = sum(bool(set(a) & set(b)) for i in range(0, 1000, 50) for a, b in zip(code.decode(x[i : i + 50]).tolist(), code.decode(y[i : i + 50]).tolist()))
-    assert met >= 985, plan
+    got = list(zip(*(v.tolist() for v in code.above(x, 0.4)[:2])))
+    want = []
+    for i, v in enumerate(x):
+        for c, (turn, (first, second)) in enumerate(zip(code.turns, code.words)):
+            for k, a in enumerate(first):
+                for m, b in enumerate(second):
+                    direction = turn @ np.concatenate([a, b])
+                    assert np.linalg.norm(direction) == pytest.approx(1)
+                    if v @ direction >= 0.4:
+                        want.append((i, c * 36 + k * 6 + m))
+    assert got == sorted(want)
+    row, _ = code.lists(x, 0.9)
+    assert np.bincount(row, minlength=40).min() >= capjoin.LEAST
+
+
+def test_sketches_of_linked_pairs_are_close():
+    for dim in (2, 3, 64):
+        x, y = capjoin.pairs_at(dim, 0.9, 20_000, 5)
+        away = np.bitwise_count(capjoin.sketches(x) ^ capjoin.sketches(y)).sum(axis=1)
+        assert away.max() <= capjoin.most_bits(0.9) < 48
+
+
+def test_recall_of_lone_pairs(spark):
+    x, y = capjoin.pairs_at(64, 0.9005, 1500, 7)
+    rows = [(2 * i + k, list(map(float, v))) for i, pair in enumerate(zip(x, y)) for k, v in enumerate(pair)]
+    got = capjoin.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    assert 3000 * 0.985 <= got <= 3000
+
+
+def test_vectors_without_ids_and_without_rows(spark):
+    rows = spark.createDataFrame([(None, [1.0, 0.0]), (4, [2.0, 0.1]), (None, [0.0, 1.0]), (4, [2.0, 0.1])], "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in capjoin.linked(rows).collect()))
+    assert got == [(0, 0, 0, True), (0, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True)]
+    assert capjoin.linked(rows.limit(0)).count() == 0
 
 
 # ---- op8
@@ -475,7 +511,7 @@ def test_forest_is_the_sorted_signatures(spark, parts):
         keys[:, 0] = (0, 1)
         rows.append((i, 1, bytearray(keys.tobytes())))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    got = jaccard.forest(spark.createDataFrame(rows, "rid long, n int, sig binary").repartition(parts), 2).collect()
+    got = jaccard.forest(spark.createDataFrame(rows, "rid long, n int, sig binary").repartition(parts), 2, 0).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     every = sorted((bytes(k[i * jaccard.WIDTH : (i + 1) * jaccard.WIDTH]), rid) for rid, _, k in rows for i in (0, 1))
     same = lambda a, b: 0 if a[:2] != b[:2] else next((i for i in range(jaccard.DEPTH) if a[2 + 2 * i : 4 + 2 * i] != b[2 + 2 * i : 4 + 2 * i]), jaccard.DEPTH)
