@@ -81,13 +81,14 @@ def _url_sql() -> str:
     first = ", ".join(f"(sum({c}) + 1) / ((SELECT sum({c}) FROM c) + (SELECT count(DISTINCT substr(gram, {order + 1}, 1)) FROM c)) AS {c}" for c in kinds)
     return f"""WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path FROM r),
-a AS (SELECT *, {rule} AS rule, {action} AS action FROM h), u AS (SELECT url, action, count(*) AS n, {pad} || regexp_replace(url, '^[^:/?#]*://', '') || chr(3) AS z FROM a GROUP BY url, action),
-w AS (SELECT url, action, n, substr(z, CAST(i AS INTEGER), {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(z) - {order} + 1)) AS i FROM u)),
-c AS (SELECT gram, coalesce(sum(n) FILTER (WHERE action = 'allow'), 0) AS good, coalesce(sum(n) FILTER (WHERE action = 'block'), 0) AS bad FROM w GROUP BY gram),
+a AS (SELECT *, {rule} AS rule, {action} AS action FROM h), u AS (SELECT url, action, coalesce(substr(md5(url), 1, 1) < '{urlfilter.HELD}', FALSE) AS held, count(*) AS n, {pad} || regexp_replace(url, '^[^:/?#]*://', '') || chr(3) AS z FROM a GROUP BY url, action),
+w AS (SELECT url, action, held, n, substr(z, CAST(i AS INTEGER), {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(z) - {order} + 1)) AS i FROM u)),
+c AS (SELECT gram, coalesce(sum(n) FILTER (WHERE action = 'allow' AND NOT held), 0) AS good, coalesce(sum(n) FILTER (WHERE action = 'block' AND NOT held), 0) AS bad FROM w GROUP BY gram),
 p0 AS (SELECT substr(gram, {order + 1}, 1) AS g, {first} FROM c GROUP BY ALL), {', '.join(levels)},
-sc AS (SELECT url, action, n, round(avg(ln(good) - ln(bad)), 9) AS score FROM w JOIN p{order} ON g = gram GROUP BY url, action, n),
-m AS (SELECT min(score) AS low, max(score) AS high FROM sc WHERE action IS NOT NULL),
-b AS (SELECT least(floor((score - low) / ((high - low) / {urlfilter.BINS})), {urlfilter.BINS - 1}) AS bin, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS bad FROM sc, m WHERE action IS NOT NULL GROUP BY ALL),
+sc AS (SELECT url, action, held, n, round(avg(ln(good) - ln(bad)), 9) AS score FROM w JOIN p{order} ON g = gram GROUP BY url, action, held, n),
+kn AS (SELECT * FROM sc WHERE action IS NOT NULL AND (held OR (SELECT count(DISTINCT action) FROM sc WHERE held) < 2)),
+m AS (SELECT min(score) AS low, max(score) AS high FROM kn),
+b AS (SELECT least(floor((score - low) / ((high - low) / {urlfilter.BINS})), {urlfilter.BINS - 1}) AS bin, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS bad FROM kn, m GROUP BY ALL),
 v AS (SELECT bin, coalesce(lag(bin) OVER o2, -1) AS last, 1 - coalesce(sum(good) OVER o, 0) / (SELECT sum(good) FROM b) + coalesce(sum(bad) OVER o, 0) / (SELECT sum(bad) FROM b) AS value FROM b WINDOW o AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o2 AS (ORDER BY bin)),
 t AS (SELECT low + (last + 1 + bin) / 2 * ((high - low) / {urlfilter.BINS}) AS cut FROM v, m ORDER BY round(value, 12) DESC, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(a.action, CASE WHEN score < cut THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN a.action IS NULL THEN score END AS score

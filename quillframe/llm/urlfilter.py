@@ -4,8 +4,9 @@ A rule (action, host, path) fits its host and all subdomains where the url's pat
 fitting rule decides. URLs that a rule allows or blocks train an accepted and a rejected model over all rows. Both are
 variable-order Markov models of up to ORDER characters of context: Witten-Bell interpolation, so that a context that was
 never seen passes its weight to the next shorter one. A url's score is the mean over its characters of the difference of
-log probabilities, hence normalised by length. The threshold is the score that best parts the rule-decided URLs, by
-balanced accuracy over a histogram of BINS scores; a url without a rule is allowed at or above it.
+log probabilities, hence normalised by length. URLs whose MD5 begins with a digit below HELD (3 in 16) train no model: the
+threshold is the score that best parts the rule-decided ones of them, by balanced accuracy over a histogram of BINS scores (of
+all rule-decided URLs, if these aren't of both kinds); a url without a rule is allowed at or above it.
 
 Each position of a padded url has one window of ORDER + 1 characters. Counts of windows are taken once over all rows
 (aggregated before the shuffle); shorter contexts are sums of them. Scores of windows are joined back to the positions,
@@ -13,7 +14,8 @@ broadcast only where their number is at most BROADCAST_WINDOWS, else by a shuffl
 every url.
 
 Nulls and edge cases: a null url or one without :// has an empty host and path and no rule; a null or empty url scores
-as its end mark alone. Without rule-decided URLs of both kinds the verdict is allow. Repeated rows are judged each.
+as its end mark alone. Without rule-decided URLs of both kinds the verdict is allow, and so is that of a score equal to the
+threshold. Repeated rows are judged each and alike; of an empty table comes an empty table.
 Only page_id and url are read.
 """
 
@@ -28,6 +30,7 @@ from quillframe.llm._base import written
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ORDER = 3
 BINS = 400
+HELD = "3"
 BROADCAST_WINDOWS = 200_000
 SALTS = 32
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -36,7 +39,7 @@ PAD, END = "\x02", "\x03"
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url._jc.toString()}, instr({url._jc.toString()}, '://') + 3)"))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), *LOWER)
     path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -53,11 +56,17 @@ def decided(pages: DataFrame, rules=RULES) -> DataFrame:
     return table.withColumn("rule", rule).withColumn("action", action)
 
 
+def held(url: Column) -> Column:
+    """URLs that calibrate the threshold and train no model."""
+    return F.coalesce(F.md5(url) < HELD, F.lit(False))
+
+
 def windows(urls: DataFrame) -> DataFrame:
     """A row (url columns, gram) for each character and the end mark of each url, with the ORDER characters before it."""
     padded = F.concat(F.lit(PAD * ORDER), F.coalesce(F.regexp_replace("url", r"^[^:/?#]*://", ""), F.lit("")), F.lit(END))
     n = F.length(padded) - ORDER
-    return urls.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))))
+    dealt = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+    return dealt.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))))
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def model(counts: DataFrame) -> DataFrame:
 
 def scored(urls: DataFrame) -> DataFrame:
     """(url, n, action), one row per url, to (url, action, n, score)."""
-    good, bad = [F.sum(F.when(F.col("action") == a, F.col("n")).otherwise(0)).alias(c) for a, c in (("allow", "good"), ("block", "bad"))]
+    good, bad = [F.sum(F.when((F.col("action") == a) & ~held(F.col("url")), F.col("n")).otherwise(0)).alias(c) for a, c in (("allow", "good"), ("block", "bad"))]
     counts = written(windows(urls).groupBy("gram").agg(good, bad), "url-windows")
     ratios = written(model(counts), "url-ratios")
     rows = windows(urls)
@@ -92,6 +101,9 @@ def scored(urls: DataFrame) -> DataFrame:
 def threshold(scores: DataFrame) -> float:
     """The score of best balanced accuracy on decided URLs, amid the empty bins there; BINS rows at most come to the driver."""
     known = scores.filter("action is not null")
+    kept = known.filter(held(F.col("url")))
+    if kept.agg(F.countDistinct("action")).first()[0] == 2:
+        known = kept
     low, high, kinds = known.agg(F.min("score"), F.max("score"), F.countDistinct("action")).first()
     if kinds is None or kinds < 2 or not high > low:
         return float("-inf")
