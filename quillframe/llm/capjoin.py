@@ -46,7 +46,7 @@ SPLIT = 1024
 #: Comparisons that cost as much as one more row dealt out.
 ROW_COST = 256
 #: Sign bits of a sketch.
-SKETCH = 128
+SKETCH = 256
 #: Code words tried for each part of a code.
 SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096)
 #: Pairs looked at together.
