@@ -338,8 +338,9 @@ def joined(docs: DataFrame, signatures: DataFrame, sets: DataFrame, width: int,
     near = placed.filter(F.greatest("before", "after") >= floor)
     total = near.count()
     info = written(own.join(near.select("rid").distinct(), "rid").select("rid", "copies", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t")), "forest-texts")
+    wanted = written(info.select("rid", "copies", "d", "t"), "forest-ids")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
-    texts = texts.join(info.select("rid", "copies", "d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     texts = written(texts.dropDuplicates(["rid"]).select("rid", "copies", "text"), "texts")
     depth, last, depths, parts = DEPTH, DEPTH + 1, [], []
     counts = np.zeros(BINS)
@@ -358,9 +359,8 @@ def joined(docs: DataFrame, signatures: DataFrame, sets: DataFrame, width: int,
         for r in parts[-1].filter("rid is null").groupBy("root").agg(F.sum("links").alias("n")).collect():
             counts[r["root"]] += r["n"]
         last, depth = depth, next_depth(counts, depth, threshold, trees)
-    discard(texts)
-    discard(info)
-    discard(placed)
+    for table in (texts, info, wanted):
+        discard(table)
     return reduce(DataFrame.unionByName, parts).filter("rid is not null"), depths
 
 
