@@ -9,7 +9,8 @@ The broadcast set holds at most MAX_WINDOWS windows. A larger benchmark is split
 every block meets all documents in its own pass, the result of each pass being written.
 
 Nulls and edge cases: null and empty texts have no words on either side; a null item_id counts as the item "null";
-items given repeatedly count once; repeated documents are scanned each. Only doc_id, text and item_id are read, except
+items given repeatedly count once; repeated documents are scanned each and alike; of an empty table comes an
+empty table. Only doc_id, text and item_id are read, except
 that clean() keeps all columns.
 """
 

@@ -12,7 +12,7 @@ documents above a quota, so that the law holds exactly.
 Counts become rows by gapless ranks, which are taken in parts (see grouped_rank), so that a hot group is in no one task.
 
 Nulls and edge cases: a null text counts no bytes, has the CRC of the empty text and no links; repeated rows and rows of
-one doc_id are sharded each; with fewer rows than shards some shards are empty. Only doc_id and text are read.
+one doc_id are sharded each; with fewer rows than shards some shards are empty, and of an empty table comes an empty one. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -51,14 +51,15 @@ def feasible(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
 def propagated(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """(g, counts array) of linked groups, moved within the quotas.
 
-    Every other round draws groups to shards with room only, so that what a full shard can't take goes elsewhere together.
+    Every other round draws groups to shards with room only (a quarter of the largest at least, so that the rest of a rounding
+    attracts none), so that what a full shard can't take goes elsewhere together.
     """
     k, spark = len(quota), groups.sparkSession
     asks = F.expr("posexplode(transform(counts, (n, s) -> if(s != target and n > 0 and n <= element_at(counts, target + 1), n, 0L)))")
     for turn in range(rounds):
         load = groups.agg(*[F.sum(F.element_at("counts", s + 1)) for s in range(k)]).first()
         room = np.array([quota[s] - (load[s] or 0) for s in range(k)])
-        near = [s for s in range(k) if room[s] > 0] if turn % 2 else list(range(k))
+        near = [s for s in range(k) if room[s] > 0 and 4 * room[s] >= room.max()] if turn % 2 else list(range(k))
         if not near:
             continue
         drawn = groups.withColumn("target", _largest(F.col("counts"), near)).withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(SLICES)).cast("int"))

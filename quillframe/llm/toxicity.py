@@ -2,13 +2,14 @@
 
 A text gives the set of its hashed words, word pairs and pairs with one or two words between. The model is fitted with
 per-coordinate learning rates and an L1 penalty on a bounded sample of labelled rows (MAX_ROWS rows of at most
-MAX_BYTES bytes, those with the least hash of doc_id); few weights are left, and they are broadcast. Every CALIBRATE_EVERY-th row of the sample refits slope and bias of the log odds, both
-classes weighing alike, so that 0.5 parts them. Scoring reads
-whole texts, a long one in pieces.
+MAX_BYTES bytes, those with the least hash of doc_id); few weights are left, and they are broadcast. Every
+CALIBRATE_EVERY-th row of the sample refits slope and bias of the log odds, both classes weighing alike, so that 0.5 parts
+them. Scoring reads whole texts, a long one in pieces.
 
 Nulls and edge cases: a null or empty text has no features and gets the score of the bias. A null label isn't learned
 from. Without labels of both classes the score is the smoothed share of label 1. Repeated rows are scored each. A null
-doc_id counts as the empty string in the fold rule. Only the named columns are read, so others may have any name.
+doc_id counts as the empty string in the fold rule. A score equal to the threshold counts as toxic; texts of equal features score
+alike; of an empty table comes an empty table. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -109,6 +109,69 @@ def test_pii_time_is_linear():
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("s", ["iban DE89 3704 0044 0532 0130 00 is", "order 555-123-4567 parts", "iban GB82 WEST 1234 5698 7654 32 is", "version 1.2.3.4567 of"])
+def test_pii_leaves_numbers_of_other_kinds(s):
+    assert pii.finder(pii.fitted())(s) == ([], [])
+
+
+def test_pii_gradient_by_differences():
+    r, (text, gold) = np.random.default_rng(4), next(iter(pii._examples(1, seed=11)))
+    edges, pairs = pii.segments(text, 0, len(text), 32, 96)
+    x = np.array([pii.vector(k) for k in pii.keys_of(text, edges, pairs)])
+    w, place = r.normal(size=x.shape[1:]) * 0.3, {e: i for i, e in enumerate(edges)}
+    truth = np.zeros(x.shape[:2])
+    for a, b, kind in gold:
+        truth[pairs.index((place[a], place[b])), pii.RANK[kind]] = 1
+    score = lambda w: np.einsum("nkf,kf->nk", x, w)
+    value = lambda w: (truth * score(w)).sum() - pii.expected(score(w), pairs, len(edges) - 1)[0]
+    gradient = np.einsum("nk,nkf->kf", truth - pii.expected(score(w), pairs, len(edges) - 1)[1], x)
+    for _ in range(40):
+        step = np.zeros_like(w)
+        step[r.integers(0, w.shape[0]), r.integers(0, w.shape[1])] = 1e-5
+        assert (value(w + step) - value(w - step)) / 2e-5 == pytest.approx((gradient * step).sum() / 1e-5, abs=1e-4)
+
+
+def test_pii_decodes_whole_texts_like_all_segmentations():
+    find = pii.finder(pii.fitted())
+    for text, _ in pii._examples(60, seed=5):
+        base, added = find(text)
+        taken = set(p for _, a, b in base for p in range(a, b))
+        want = []
+        for m in [*pii.MASKED.finditer(text), *pii.REGION.finditer(text)]:
+            limits = (pii.MASKED_SEGMENT, pii.MASKED_CHARS) if m.re is pii.MASKED else (pii.MAX_SEGMENT, pii.MAX_CHARS)
+            edges, pairs = pii.segments(text, *m.span(), *limits)
+            scores = {p: (pii.vector(k) * pii.fitted()).sum(axis=1) for p, k in zip(pairs, pii.keys_of(text, edges, pairs))}
+            best = [(0.0, [])]
+            for j in range(1, len(edges)):
+                options = [(best[i][0] + scores[i, j].max(), [*best[i][1], (pii.KINDS[int(scores[i, j].argmax())], edges[i], edges[j])]) for i in range(j) if (i, j) in scores]
+                best.append(max([best[j - 1], *options], key=lambda o: o[0]))
+            for kind, a, b in best[-1][1]:
+                if not taken & set(range(a, b)):
+                    want.append((kind, a, b))
+                    taken |= set(range(a, b))
+        assert added == want, text
+
+
+def test_pii_of_many_entities_grows_in_proportion():
+    import time
+
+    find, times = pii.finder(pii.fitted()), []
+    unit = "call (555) 123-4567 or mail jane.doe (at) example (dot) org, host 10.1.2.3, "
+    find(unit * 200)
+    for n in (1500, 3000):
+        began = time.process_time()
+        assert len(find(unit * n)[1]) == 2 * n
+        times.append(time.process_time() - began)
+    assert times[1] < 2.6 * times[0] + 0.1
+
+
+@pytest.mark.parametrize("scan", [lambda d: pii.digest(pii.scan(d)), lambda d: secrets.digest(secrets.scan(d))])
+def test_scans_of_nothing_and_of_repeated_rows(spark, scan):
+    d = repeated(spark, [(1, "a@b.cd token=abcdef"), (1, "a@b.cd token=abcdef"), (None, None)])
+    rows = [tuple(r) for r in scan(d).collect()]
+    assert len(rows) == 3 and len(set(rows)) == 2 and scan(d.limit(0)).count() == 0
+
+
 def test_segmentation_is_the_best_of_all():
     r = np.random.default_rng(0)
     for _ in range(50):
@@ -138,10 +201,28 @@ def test_secrets(spark):
         value, d = divmod(value, 62)
         check = secrets.BASE62[d] + check
     assert [s[0] for s in find(f"x ghp_{body}{check} y")] == ["token"] and find(f"x ghp_{body}000000 y") == []
+    long = "x " * 600_000 + "password = abcdef " + "y " * 600_000
+    assert find(long) == [("assign", 1_200_000, 1_200_017)]
     rows = {x["doc_id"]: x for x in secrets.digest(secrets.scan(docs(spark, None, "", "é token: abcdef1"))).collect()}
     assert rows[0]["spans"] == rows[1]["spans"] == "" and rows[2]["spans"] == "assign:2:16" and rows[2]["n_assign"] == 1
 
 
+def test_secrets_with_embedded_checksums():
+    find, raw = secrets.finder(), bytes.fromhex("0488ade4") + bytes(range(74))
+    value = int.from_bytes(raw + hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4], "big")
+    text = ""
+    while value:
+        value, d = divmod(value, 58)
+        text = secrets.BASE58[d] + text
+    assert text[:4] == "xprv" and len(text) == 111
+    assert [x[0] for x in find(f"key {text}.")] == ["xprv"] and find(f"key {text[:-1]}{'1' if text[-1] != '1' else '2'}.") == []
+    data = "".join(secrets.BECH32[i % 32] for i in range(52))
+    rest = secrets.bech32_sum("age-secret-key-", data + "Q" * 6) ^ 1
+    full = "AGE-SECRET-KEY-1" + data + "".join(secrets.BECH32[rest >> 5 * (5 - i) & 31] for i in range(6))
+    assert [x[0] for x in find(f"id {full} x")] == ["age"] and find(f"id {full[:-1]}{'Q' if full[-1] != 'Q' else 'P'} x") == []
+    assert secrets.bech32_sum("a", "2UEL5L".replace("2UEL5L", "2UEL5L")) == 1
+
+
 # ---- op3
 
 def check_shards(rows, texts, n):
@@ -174,6 +255,53 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(w) == 1 for w in where.values()) > 0.95 * len(where)
 
 
+def propagated_plainly(counts, quota, rounds, tie, share):
+    """The rounds of propagation as loops over groups."""
+    k, groups = len(quota), {g: list(c) for g, c in counts.items()}
+    for turn in range(rounds):
+        room = np.array([quota[s] - sum(c[s] for c in groups.values()) for s in range(k)])
+        near = [s for s in range(k) if room[s] > 0 and 4 * room[s] >= max(room)] if turn % 2 else list(range(k))
+        if not near:
+            continue
+        target = {g: max(near, key=lambda s: (c[s], tie[g][s])) for g, c in groups.items()}
+        asked = np.zeros((k, k, sharding.SLICES))
+        for g, c in groups.items():
+            for s in range(k):
+                if s != target[g] and 0 < c[s] <= c[target[g]]:
+                    asked[s, target[g], share[g][0]] += c[s]
+        if not asked.any() and not turn % 2:
+            break
+        granted, before = sharding.feasible(asked.sum(axis=2), room), np.cumsum(asked, axis=2) - asked
+        part = np.clip(np.divide(granted[:, :, None] - before, asked, out=np.zeros_like(asked), where=asked > 0), 0, 1)
+        for g, c in groups.items():
+            t = target[g]
+            gone = [int(np.floor(c[s] * part[s, t, share[g][0]] + share[g][1][turn][s] / 1001)) if s != t and c[s] <= c[t] else 0 for s in range(k)]
+            groups[g] = [c[s] - gone[s] + (sum(gone) if s == t else 0) for s in range(k)]
+    return groups
+
+
+def test_propagation_is_the_plain_loop(spark):
+    from quillframe.plans.tables import written
+
+    r, k, rounds = np.random.default_rng(3), 5, 6
+    counts = {f"g{i}": [int(x) for x in r.integers(0, 4, k) * (r.random(k) < 0.6)] for i in range(60)} | {"big": [40, 30, 20, 10, 5]}
+    total = sum(map(sum, counts.values())) + 60
+    quota = [total // k + (s < total % k) for s in range(k)]
+    names = spark.createDataFrame([(g,) for g in counts], "g string")
+    hashes = names.select("g", F.array(*[F.xxhash64("g", F.lit(s)) for s in range(k)]), F.pmod(F.xxhash64("g"), F.lit(sharding.SLICES)), F.array(*[F.array(*[F.pmod(F.xxhash64("g", F.lit(s), F.lit(t)), F.lit(1000)) for s in range(k)]) for t in range(rounds)])).collect()
+    tie, share = {h[0]: h[1] for h in hashes}, {h[0]: (h[2], h[3]) for h in hashes}
+    cut = lambda groups: sum(sum(c) ** 2 - sum(x * x for x in c) for c in groups.values()) // 2
+    last = cut(counts)
+    for n in range(rounds + 1):
+        want = propagated_plainly(counts, quota, n, tie, share)
+        table = written(spark.createDataFrame(list(counts.items()), "g string, counts array<bigint>"), "test-groups")
+        assert {row["g"]: row["counts"] for row in sharding.propagated(table, quota, n).collect()} == want
+        assert cut(want) <= last
+        last = cut(want)
+    small = lambda groups: {g: c for g, c in groups.items() if g != "big"}
+    assert last < cut(counts) and cut(small(want)) < cut(small(counts)) / 4
+
+
 def test_moves_respect_room():
     r = np.random.default_rng(2)
     for _ in range(20):
@@ -211,7 +339,17 @@ def test_decontamination(spark, most):
     kept = decontam.clean(docs(spark, *texts), bench, most=most)
     assert kept.columns == docs(spark).columns and {x["doc_id"] for x in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
     assert decontam.without_hits(b"a, b c. d", [(1, 3)]) == b"a, . d"
-    assert decontam.scan(docs(spark, "a b"), bench.limit(0)).first()["n_words"] == 2
+    assert decontam.scan(docs(spark, "a b"), bench.limit(0)).first()["n_words"] == 2 and decontam.scan(docs(spark).limit(0), bench).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    r = np.random.default_rng(8)
+    text = " ".join(r.choice(["alpha", "beta", "gamma", "delta"], 3000)).encode()
+    windows = decontam.Windows([("i", text[2000:2200])], 10)
+    whole, sets = decontam.matcher(windows)(text), jaccard.Shingler()(text)
+    monkeypatch.setattr(decontam, "PIECE", 100)
+    monkeypatch.setattr(jaccard, "PIECE", 100)
+    assert decontam.matcher(windows)(text) == whole and whole[1] and (jaccard.Shingler()(text) == sets).all()
 
 
 # ---- op6
@@ -237,6 +375,24 @@ def test_url_model(spark):
     assert rows[200]["verdict"] == "allow" and rows[201]["verdict"] == "block" and rows[200]["score"] > rows[201]["score"]
 
 
+def test_url_threshold_comes_from_urls_that_train_no_model(spark):
+    scores = spark.createDataFrame([(f"http://u{i}.org/", 1, ("allow", "block")[i % 2], float(-(i % 2)) + 0.01 * (i % 7)) for i in range(60)] + [("http://open/", 1, None, 9.0)], "url string, n long, action string, score double")
+    rows = [(r["action"], r["score"]) for r in scores.filter(urlfilter.held(F.col("url"))).collect()]
+    chosen = [x for x in rows if x[0]]
+    assert 4 <= len(chosen) < 30 and max(v for a, v in chosen if a == "block") < urlfilter.threshold(scores) <= min(v for a, v in chosen if a == "allow") + 1e-9
+    one = scores.filter((F.col("action") == "allow") | ~urlfilter.held(F.col("url")))
+    assert -0.94 < urlfilter.threshold(one) < 0.01
+
+
+def test_urls_that_repeat_or_tie_are_judged_alike(spark):
+    urls = ["http://a.org/x", "http://a.org/x", "http://q.net/x", "http://q.net/x", "http://b.com/de/x", None, None]
+    rows = urlfilter.judged(spark.createDataFrame([(i, u, 0, 0) for i, u in enumerate(urls)], "page_id long, url string, n long, gram int")).collect()
+    by = defaultdict(set)
+    for r in rows:
+        by[urls[r["page_id"]]].add((r["verdict"], r["score"]))
+    assert len(rows) == 7 and all(len(v) == 1 for v in by.values())
+
+
 # ---- op7
 
 def test_vectors(spark):
@@ -356,6 +512,59 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.scored(d.limit(3), none).collect()} == {0.5}
 
 
+def test_ftrl_weights_are_the_plain_loop():
+    r = np.random.default_rng(2)
+    rows = [(np.unique(r.integers(0, 40, 12)), int(r.random() < 0.4)) for _ in range(300)]
+    model, z, n, bias, bias_n = toxicity.ftrl(rows), defaultdict(float), defaultdict(float), None, 0.0
+    positive = sum(y for _, y in rows)
+    prior = (positive + 0.5) / (len(rows) + 1)
+    bias = np.log(prior / (1 - prior))
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, y in rows:
+            p = 1 / (1 + np.exp(-(bias + sum(weight(int(i)) for i in f))))
+            g = p - y
+            for i in map(int, f):
+                w = weight(i)
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w
+                n[i] += g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA / (toxicity.BETA + bias_n**0.5) * g
+    want = {i: weight(i) for i in list(z) if weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(want, rel=1e-4) and model.bias == pytest.approx(bias) and 0 < len(want) < 40
+
+
+def test_calibration_is_the_minimum():
+    r = np.random.default_rng(6)
+    rows = [(np.array([i % 5]), int(r.random() < (0.1, 0.3, 0.5, 0.7, 0.9)[i % 5])) for i in range(400)]
+    raw = toxicity.Model(np.arange(5), np.array([-1.0, -0.4, 0.1, 0.5, 1.2], dtype=np.float32), 0.2)
+    fitted = toxicity.calibrated(raw, rows)
+    slope, shift = float(fitted.weight[4] / raw.weight[4]), fitted.bias - raw.bias * float(fitted.weight[4] / raw.weight[4])
+    y = np.array([y for _, y in rows])
+    score = np.array([raw.bias + raw.weight[f[0]] for f, _ in rows])
+    weights, goal = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y), np.where(y == 1, 0.995, 0.005)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * score + b)))
+        return -(weights * (goal * np.log(p) + (1 - goal) * np.log(1 - p))).sum() + 0.05 * (a - 1) ** 2 + 0.005 * b * b
+
+    assert all(loss(slope, shift) <= loss(slope + a, shift + b) + 1e-9 for a, b in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02)))
+
+
+def test_toxicity_of_nothing_ties_and_repeated_rows(spark):
+    d = repeated(spark, [(1, "same words"), (1, "same words"), (2, "same words"), (None, None), (3, "")])
+    model = toxicity.Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0)
+    assert [r["score"] for r in toxicity.scored(d, model).collect()] == [0.5] * 5
+    assert toxicity.scored(d, model, keep_below=0.5).count() == 0 and toxicity.scored(d.limit(0), model).count() == 0
+    none = toxicity.fit(d.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.bias == 0.0 and not len(none.index)
+
+
 def test_long_texts_score_like_their_pieces(monkeypatch):
     text = b"alpha beta gamma delta rotten " * 200
     model = toxicity.ftrl([(np.array([1, 2, 3]), 1), (np.array([4, 5]), 0)] * 40)
@@ -367,7 +576,7 @@ def test_long_texts_score_like_their_pieces(monkeypatch):
 
 # ---- op9
 
-def test_mixing_counts(spark):
+def test_mixing_counts(spark, monkeypatch):
     rows = [(i, f"t{i}", "big" if i < 900 else "small") for i in range(1000)] + [(5000, None, None), (None, "x", "small")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mixed(d)
@@ -384,6 +593,11 @@ def test_mixing_counts(spark):
         assert counts.get(i, 0) == k
     assert rate["small"] > 1 > rate["big"] and abs(sum(counts.values()) - len(rows)) < 120
     assert mixing.mixed(d, plain=True).columns == d.columns and mixing.mixed(d.limit(0)).count() == 0
+    clashing = d.withColumns({"count": F.lit(7), "__count": F.lit(8), "cdf": F.lit("c"), "OF": F.lit("o"), "a.b": F.lit(1), "mix_key": F.lit(0)})
+    again = mixing.mixed(clashing, plain=True)
+    assert again.columns == [*d.columns, "count", "__count", "cdf", "OF", "a.b"] and {tuple(r)[3:] for r in again.collect()} == {(7, 8, "c", "o", 1)} and again.count() == sum(counts.values())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
+    assert Counter(r["doc_id"] for r in mixing.mixed(clashing).collect()) == counts
     given = spark.createDataFrame([("small", 1.0)], "source string, weight double")
     assert {r["source"] for r in mixing.mixed(d, given).collect()} == {"small"}
 
@@ -556,6 +770,64 @@ def test_every_number_has_one_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
+def pipeline_folder(spark, tmp_path, rows, items):
+    labels = [(i, 0, int("rotten" in t)) for i, t, *_ in rows if t and i is not None]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words, 40)) + (" rotten filth " + " ".join(r.choice(words, 10)) if i % 5 == 0 else "") for i in range(200)]
+    items = [(0, texts[1][:80]), (1, None), (2, "")]
+    texts += [texts[3], texts[3] + " more", texts[7], None, None, "", "", "solo"]
+    rows = [(i, t, "en", (None, "a", "b")[min(2, i % 7)], 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", "a", 1), (None, texts[8], "en", "b", 1)]
+    sf = pipeline_folder(spark, tmp_path, rows, items)
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    score = toxicity.scorer(toxicity.fit(d, spark.read.parquet(f"{sf}/labels.parquet")))
+    kept = [x for x, v in zip(rows, score([None if x[1] is None else x[1].encode() for x in rows])) if v < toxicity.THRESHOLD]
+    assert 0.7 * len(rows) < len(kept) < len(rows) - 30
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    sets, label = [shingles(x[1]) for x in kept], list(range(len(kept)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    chosen = {}
+    for x, c, a in zip(kept, label, sets):
+        group = c if a else ("own", x[0], x[1])
+        if group not in chosen or key(x) < key(chosen[group]):
+            chosen[group] = x
+    clean = [x for x in chosen.values() if not brute_hits(x[1], items)[1]]
+    assert len(clean) < len(chosen) < len(kept)
+    n = Counter(x[3] for x in clean)
+    total, out = sum(v**0.5 for v in n.values()), Counter()
+    for x in clean:
+        mean = n[x[3]] ** 0.5 / total * len(clean) / n[x[3]]
+        u, k = int(hashlib.md5(f"{mixing.SEED}|{'~' if x[0] is None else x[0]}|{x[3] or '~'}".encode()).hexdigest()[:13], 16) / 2**52, 0
+        cdf = p = np.exp(-mean)
+        while cdf <= u:
+            k, p = k + 1, p * mean / (k + 1)
+            cdf += p
+        if k:
+            out[(x[0], len((x[1] or "").encode()) + 8, zlib.crc32((x[1] or "").encode()))] += k
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((g["doc_id"], g["size"], g["text_crc32"]) for g in got) == out
+    check_shards(got, got, sharding.N_SHARDS)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path, [], [])).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
