@@ -39,7 +39,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix), ("sharding", shard)]
-#: Model fitting and MinHash have no form in SQL; the stages are tested against brute force.
+#: Model fitting has no form in SQL; run() is tested against the five stages by brute force.
 ORACLE_SQL = None
 
 
