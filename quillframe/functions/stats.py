@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.plans.tables import sums_before
+
 # Fixed value: scales the median absolute deviation to a normal's standard deviation.
 MAD_NORMAL = 1.482602218505602
 
@@ -57,14 +59,34 @@ def wasserstein(p: Column, q: Column) -> Column:
 
 
 def sample_wasserstein(samples: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
-    """Distance of two samples per group: rows (keys, side, value) with side 'left' or 'right'."""
-    by = Window.partitionBy(*keys)
-    sizes = samples.withColumns({f"n_{s}": F.count_if(F.col(side) == s).over(by) for s in ("left", "right")})
-    steps = sizes.groupBy(*keys, value).agg(*[(F.count_if(F.col(side) == s) / F.first(f"n_{s}")).alias(s) for s in ("left", "right")])
-    order = by.orderBy(value)
-    gap = F.lead(value).over(order) - F.col(value)
-    area = steps.withColumns({"gap": gap, "d": F.abs(F.sum("left").over(order) - F.sum("right").over(order))})
-    return area.groupBy(*keys).agg(F.coalesce(F.sum(F.col("d") * F.col("gap")), F.lit(0.0)).alias("distance"))
+    """Distance of two samples per group: rows (keys, side, value) with side 'left' or 'right'.
+
+    Values are counted per group first. With D the difference of the two distributions after a value and C that before it, the
+    distance is the sum of value (|C| - |D|), so that no row needs the next one.
+    """
+    both = {"left": F.col(side) == "left", "right": F.col(side) == "right"}
+    sizes = samples.groupBy(*keys).agg(*[F.count_if(c).alias(f"all_{s}") for s, c in both.items()])
+    steps = samples.groupBy(*keys, value).agg(*[F.count_if(c).alias(s) for s, c in both.items()])
+    run = sums_before(steps, keys, [value], before_left="left", before_right="right").join(sizes, keys)
+    share = lambda s: F.col(f"before_{s}") / F.col(f"all_{s}")
+    after = lambda s: (F.col(f"before_{s}") + F.col(s)) / F.col(f"all_{s}")
+    area = F.sum(F.col(value) * (F.abs(share("left") - share("right")) - F.abs(after("left") - after("right"))))
+    return run.groupBy(*keys).agg(F.coalesce(area, F.lit(0.0)).alias("distance"))
+
+
+def quantiles(counted: DataFrame, keys: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, units, name ...): type-7 quantiles of counted values, one row for each value of a group; exact, without a group in one task."""
+    sizes = counted.groupBy(*keys).agg(F.sum(weight).alias("units"))
+    run = sums_before(counted.filter(F.col(value).isNotNull()), keys, [value], below=weight)
+    run = run.join(sizes, keys) if keys else run.crossJoin(F.broadcast(sizes))
+    found = []
+    for name, p in shares.items():
+        at = (F.col("units") - 1) * F.lit(p)
+        for end, k in (("low", F.floor(at)), ("high", F.ceil(at))):
+            found.append(F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col(weight)), F.col(value))).alias(f"{name}_{end}"))
+    ends = run.groupBy(*keys).agg(F.first("units").alias("units"), *found)
+    part = lambda p: (F.col("units") - 1) * F.lit(p) - F.floor((F.col("units") - 1) * F.lit(p))
+    return ends.select(*keys, "units", *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * part(p)).alias(n) for n, p in shares.items()])
 
 
 def midrank_percentile(values: Column, x: Column) -> Column:
@@ -90,10 +112,9 @@ def median_deviation(values: Column) -> Column:
 def rank_auc(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve per group, by midranks; null unless both classes are there.
 
-    Scores are counted per distinct value first, so that ties shrink and ranks come from running sums.
+    Scores are counted per distinct value first, so that ties shrink, and ranks are sums over ranges of scores.
     """
     ties = rows.groupBy(*keys, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = ties.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
+    below = sums_before(ties, keys, [score], below="neg")
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return below.groupBy(*keys).agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import stats
 from quillframe.operators.compare import METRICS
-from quillframe.operators.text import summarized
+from quillframe.operators.text import summarized_at_scale
 from quillframe.plans.registry import FEATURES
 
 
@@ -54,7 +54,7 @@ def pooled_keys(members: DataFrame, observations: DataFrame, reducer: str) -> Da
 def pooled_samples(members: DataFrame, observations: DataFrame) -> DataFrame:
     """Summary statistics of scalars that don't add up."""
     rows = _members(members, observations).filter(F.col("feature_id").isin(_ids("SAMPLE")) & (F.col("status") == "ok"))
-    return summarized(rows, ["set_id", "feature_id"], "scalar")
+    return summarized_at_scale(rows, ["set_id", "feature_id"], "scalar")
 
 
 def compared_pools(pairs: DataFrame, members: DataFrame, observations: DataFrame) -> DataFrame:

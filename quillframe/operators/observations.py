@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import code, python_code, text
 from quillframe.plans.registry import FEATURES
-from quillframe.plans.tables import written
+from quillframe.plans.tables import spread, written
 
 SCHEMA = {
     "int_value": "bigint", "numerator": "bigint", "denominator": "bigint", "scalar": "double", "cat": "map<string,bigint>", "hist": "map<int,bigint>",
@@ -60,24 +60,26 @@ def text_pieces(artifacts: DataFrame) -> DataFrame:
         "text.lexical.hapax_type_count_casefold": _count("hapax_count", words), "text.lexical.hapax_token_share_casefold": _ratio("hapax_count", "word_count"),
         "text.lexical.word_entropy_bits_casefold": {"scalar": F.col("entropy_bits"), "support_count": words}, "text.lexical.word_simpson_concentration_casefold": {"scalar": F.col("simpson"), "support_count": words},
     }
-    sample = {"text.sample.byte_count": _count("byte_count"), "text.sample.character_count": _count("character_count")}
-    structure = {"text.structure.sentence_count": _count("sentence_count"), "text.structure.paragraph_count": _count("paragraph_count")}
+    plain = {
+        "text.sample.byte_count": _count("byte_count"), "text.sample.character_count": _count("character_count"), "text.structure.sentence_count": _count("sentence_count"), "text.structure.paragraph_count": _count("paragraph_count"),
+    }
+    types = written(text.token_types(artifacts), "types")
+    scalars = text.type_scalars(types)
+    parts = text.structured(text.tokenized(artifacts))
+    lists = F.concat(text.surface_event_list(), text.token_event_list(), text.structure_event_list())
+    sizes = F.struct(F.octet_length("text").cast("bigint").alias("byte_count"), F.length("text").cast("bigint").alias("character_count"), F.size("paragraphs").cast("bigint").alias("paragraph_count"), F.size(F.flatten("sentences")).cast("bigint").alias("sentence_count"))
+    read = written(spread(parts).select("artifact_id", lists.alias("events"), sizes.alias("sizes")), "text-events")
     windows = text.window_ttr(artifacts)
     summary = windows.select("artifact_id", F.lit("text.lexical.window_ttr_100").alias("feature_id"), F.struct(*[c for c in windows.columns if c != "artifact_id"]).alias("summary"), F.col("n").alias("support_count"))
-    matched = text.function_word_events(artifacts)
-    totals = matched.groupBy("artifact_id").agg(F.sum("n").alias("matched"))
-    scalars = text.lexical_scalars(artifacts)
-    english = scalars.join(artifacts.filter("language = 'en'").select("artifact_id"), "artifact_id", "left_semi").join(totals, "artifact_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-    events = [text.surface_events(artifacts), text.token_events(artifacts), text.structure_events(artifacts), text.category_events(artifacts), matched]
-    parts = [
+    events = [read.select("artifact_id", F.inline("events")), text.category_events(artifacts), text.matched_events(types)]
+    pieces = [
         from_events(reduce(DataFrame.unionByName, events)),
         from_scalars(scalars, lexical),
-        from_scalars(text.sample_scalars(artifacts), sample),
-        from_scalars(text.structure_scalars(artifacts), structure),
-        from_scalars(english, {"text.function_words.en.token_share": _ratio("matched", "word_count")}),
+        from_scalars(read.select("artifact_id", "sizes.*"), plain),
+        from_scalars(scalars.filter("language = 'en'"), {"text.function_words.en.token_share": _ratio("matched", "word_count")}),
         _pieces(summary, summary=F.col("summary"), support_count=F.col("support_count")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def code_pieces(artifacts: DataFrame) -> DataFrame:
@@ -89,8 +91,8 @@ def code_pieces(artifacts: DataFrame) -> DataFrame:
     return from_scalars(code.line_scalars(artifacts), scalars).unionByName(from_events(events))
 
 
-def python_pieces(artifacts: DataFrame) -> DataFrame:
-    """Python features of artifacts(artifact_id, text, raw); the facts are written once and read by both halves."""
+def python_pieces(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Python features of artifacts(artifact_id, text, raw), and their parse states; the facts are written once."""
     found = written(python_code.facts(artifacts), "python-facts")
     wide = python_code.scalars(artifacts, found).filter("parse_status not in ('decode_error', 'token_error')")
     parsed = wide.filter("parse_status = 'ok'")
@@ -99,30 +101,45 @@ def python_pieces(artifacts: DataFrame) -> DataFrame:
         "code.python.structure.function_count": _count("function_count"), "code.python.structure.class_count": _count("class_count"),
         "code.python.structure.nonterminal_return_function_share": _ratio("early_functions", "function_count"), "code.python.structure.import_alias_share": _ratio("renamed", "aliases"),
     }
-    return from_events(python_code.events(found)).unionByName(from_scalars(wide, tokens)).unionByName(from_scalars(parsed, tree))
+    states = found.filter("fact = 'status'").select("artifact_id", F.col("key").alias("parse_status"))
+    return from_events(python_code.events(found)).unionByName(from_scalars(wide, tokens)).unionByName(from_scalars(parsed, tree)), states
+
+
+#: Features that need a Python source's tokens only; the other Python features need its tree.
+TOKEN_FEATURES = ("code.python.lexical.", "code.python.naming.identifier_", "code.python.comments.comment_", "code.toolchain.")
+
 
+def parse_status(feature: Column, state: Column) -> Column:
+    """What a failed parse makes of a Python feature: null if nothing."""
+    python = feature.startswith("code.python.") | feature.startswith("code.toolchain.")
+    tokens = reduce(lambda a, b: a | b, [feature.startswith(p) for p in TOKEN_FEATURES])
+    return F.when(python & state.isin("decode_error", "token_error"), "parser_error").when(python & ~tokens & (state == "ast_error"), "parser_error").when(python & ~tokens & (state == "ast_limited"), "unavailable")
 
-def observed(artifacts: DataFrame, pieces: DataFrame, prefixes: tuple[str, ...], disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Statuses for every artifact and every feature under the prefixes, with the values found.
+
+def observed(artifacts: DataFrame, pieces: DataFrame, prefixes: tuple[str, ...], disabled: tuple[str, ...] = (), states: DataFrame | None = None) -> DataFrame:
+    """Statuses for every artifact and every feature under the prefixes, with the values found; states(artifact_id, parse_status) of Python sources.
 
     The features of an artifact are a literal of at most 90 entries, so that no table is crossed; values and statuses
-    meet in one grouping.
+    meet in one grouping. No grammar and no linguistic model is at hand, so that their features are unavailable.
     """
     chosen = [f for f in FEATURES.values() if f.feature_id.startswith(prefixes)]
     names = F.array(*[F.struct(F.lit(f.feature_id).alias("feature_id"), F.lit(f.family).alias("family"), F.lit(f.geometry).alias("geometry"), F.lit(f.support_kind).alias("support_kind")) for f in chosen])
-    frame = artifacts.select("artifact_id", "language", F.inline(names))
+    own = artifacts.select("artifact_id", "language", F.lit(None).cast("string").alias("parse_status")) if states is None else artifacts.select("artifact_id", "language").join(states, "artifact_id", "left")
+    frame = own.select("artifact_id", "language", "parse_status", F.inline(names))
     empty = {c: F.lit(None).cast(t) for c, t in SCHEMA.items()}
-    marked = pieces.withColumns({c: F.lit(None).cast("string") for c in ("language", "family", "geometry", "support_kind")})
+    marked = pieces.withColumns({c: F.lit(None).cast("string") for c in ("language", "parse_status", "family", "geometry", "support_kind")})
     both = frame.withColumns(empty).unionByName(marked)
-    fields = ["language", "family", "geometry", "support_kind", *SCHEMA]
+    fields = ["language", "parse_status", "family", "geometry", "support_kind", *SCHEMA]
     rows = both.groupBy("artifact_id", "feature_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in fields]).filter("family is not null")
     found = F.col("scalar").isNotNull() | F.col("cat").isNotNull() | F.col("hist").isNotNull() | F.col("summary").isNotNull()
-    english = F.col("feature_id").startswith("text.function_words.en.")
+    feature, failed = F.col("feature_id"), parse_status(F.col("feature_id"), F.col("parse_status"))
+    english = feature.startswith("text.function_words.en.")
     status = (
-        F.when(F.lit(False) if not disabled else reduce(lambda a, b: a | b, [F.col("feature_id").startswith(d) for d in disabled]), "disabled")
+        F.when(F.lit(False) if not disabled else reduce(lambda a, b: a | b, [feature.startswith(d) for d in disabled]), "disabled")
         .when(english & (F.coalesce("language", F.lit("und")) == "und"), "unavailable")
         .when(english & (F.col("language") != "en"), "not_applicable")
-        .when(F.col("feature_id").startswith("code.parser."), "unavailable")
+        .when(feature.startswith("code.parser.") | feature.startswith("text.linguistic."), "unavailable")
+        .when(failed.isNotNull(), failed)
         .when(found, "ok")
         .otherwise("insufficient_support")
     )
@@ -130,17 +147,20 @@ def observed(artifacts: DataFrame, pieces: DataFrame, prefixes: tuple[str, ...],
     return out.select("artifact_id", "feature_id", "family", "geometry", "status", *[F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in SCHEMA], "support_kind")
 
 
-def fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Observations of text artifacts (artifact_id, text, language)."""
-    return observed(artifacts, text_pieces(artifacts), ("text.sample.", "text.surface.", "text.lexical.", "text.structure.", "text.function_words."), disabled)
+TEXT_FAMILIES = ("text.sample.", "text.surface.", "text.lexical.", "text.structure.", "text.function_words.")
+
+
+def fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = (), linguistic: bool = False) -> DataFrame:
+    """Observations of text artifacts (artifact_id, text, language); linguistic features only if asked for."""
+    return observed(artifacts, text_pieces(artifacts), (*TEXT_FAMILIES, *(("text.linguistic.",) if linguistic else ())), disabled)
 
 
 def code_fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Surface observations of code artifacts of any language."""
-    return observed(artifacts, code_pieces(artifacts), ("code.sample.", "code.surface."), disabled)
+    """Surface observations of code artifacts of any language, and the rows of the grammars' features."""
+    return observed(artifacts, code_pieces(artifacts), ("code.sample.", "code.surface.", "code.parser."), disabled)
 
 
 def python_fingerprints(artifacts: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     """Surface and Python observations of Python artifacts (artifact_id, text, raw, language)."""
-    pieces = code_pieces(artifacts).unionByName(python_pieces(artifacts))
-    return observed(artifacts, pieces, ("code.sample.", "code.surface.", "code.python.", "code.toolchain."), disabled)
+    pieces, states = python_pieces(artifacts)
+    return observed(artifacts, code_pieces(artifacts).unionByName(pieces), ("code.sample.", "code.surface.", "code.python.", "code.toolchain."), disabled, states)

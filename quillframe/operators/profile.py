@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions import stats
 from quillframe.functions.stats import MAD_NORMAL
+from quillframe.plans.tables import written
 
 SCALARS = ("int", "float", "ratio")
 
@@ -20,25 +22,22 @@ def baseline(observations: DataFrame) -> DataFrame:
 
 
 def quantiles(base: DataFrame) -> DataFrame:
-    """Size, type-7 quartiles and median absolute deviation per feature."""
-    q = base.groupBy("feature_id").agg(F.sum("n").alias("units"), F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.col("n")).alias("q"))
-    q = q.select("feature_id", F.col("units").alias("baseline_n"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
-    away = base.join(F.broadcast(q), "feature_id").withColumn("away", F.abs(F.col("value") - F.col("median")))
-    mad = away.groupBy("feature_id").agg(F.percentile("away", F.lit(0.5), F.col("n")).alias("mad_raw"))
-    return q.join(F.broadcast(mad), "feature_id")
+    """Size, type-7 quartiles and median absolute deviation per feature; one row for each, 90 at most."""
+    q = stats.quantiles(base, ["feature_id"], "value", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75}).withColumnRenamed("units", "baseline_n")
+    q = written(q, "quantiles")
+    away = base.join(F.broadcast(q.select("feature_id", "median")), "feature_id").groupBy("feature_id", F.abs(F.col("value") - F.col("median")).alias("away")).agg(F.sum("n").alias("n"))
+    return q.join(F.broadcast(stats.quantiles(away, ["feature_id"], "away", "n", {"mad_raw": 0.5}).drop("units")), "feature_id")
 
 
 def profiled(observations: DataFrame, base: DataFrame) -> DataFrame:
     """Each ok scalar of the subjects against the baseline; robust_z is null where the deviation is 0.
 
-    A value's midrank comes from running counts over the union of both tables' distinct values, not from comparing each
-    subject with each unit.
+    A value's midrank comes from running counts over the union of both tables' distinct values, taken by ranges of values.
     """
     subjects = observations.filter(F.col("geometry").isin(*SCALARS) & (F.col("status") == "ok") & F.col("scalar").isNotNull()).select("artifact_id", "feature_id", F.col("scalar").alias("observed_value"))
     points = base.unionByName(subjects.select("feature_id", F.col("observed_value").alias("value")).distinct().withColumn("n", F.lit(0).cast("bigint")))
     points = points.groupBy("feature_id", "value").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("feature_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = points.select("feature_id", F.col("value").alias("observed_value"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    ranks = stats.sums_before(points, ["feature_id"], ["value"], below="n").withColumnRenamed("value", "observed_value")
     joined = subjects.join(ranks, ["feature_id", "observed_value"]).join(F.broadcast(quantiles(base)), "feature_id")
     scaled = F.col("mad_raw") * F.lit(MAD_NORMAL)
     return joined.select(

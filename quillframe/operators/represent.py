@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
 from quillframe.functions import unicode as U
+from quillframe.plans.tables import keyed, parallelism, written
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,8 @@ WORD_TFIDF, CHAR_TFIDF = Spec("word", 1, 3, "tfidf"), Spec("char", 3, 5, "tfidf"
 
 
 def grams(artifacts: DataFrame, spec: Spec) -> DataFrame:
-    """(artifact_id, term, n); terms are counted within their task before any shuffle."""
+    """(artifact_id, term, n); texts are dealt out before they are taken apart, so that terms are counted without a shuffle."""
+    artifacts = keyed(artifacts)
     if spec.unit == "char":
         pieces = [T.extract_group(F.col("text"), rf"(?s)(?=(.{{{n}}})).") for n in range(spec.low, spec.high + 1)]
         rows = artifacts.select("artifact_id", F.explode(F.concat(*pieces)).alias("term"))
@@ -44,16 +46,19 @@ def _word_cut(n: int):
 def vocabulary(counts: DataFrame, documents: int) -> DataFrame:
     """(term, index, df, idf): terms in code-point order, idf = ln((n + 1) / (df + 1)) + 1.
 
-    Indexes come from ranks within hashed parts of first bytes, offset by the parts' sizes, so that no task sorts all terms.
+    Terms are dealt out by ranges and numbered there, offset by the number of terms in the ranges before: one row of
+    each range comes to the driver.
     """
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("part", F.substring(F.hex("term"), 1, 6))
-    sizes = terms.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.hex("term"))) - 1
-    placed = terms.withColumn("rank", rank).join(offsets, "part")
+    spark = counts.sparkSession
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = written(terms.repartitionByRange(parallelism(spark), "term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id()), "terms")
+    part, offsets, total = F.shiftright("at", 33).cast("int"), {}, 0
+    for p, n in sorted(map(tuple, placed.groupBy(part).agg(F.count(F.lit(1))).collect())):
+        offsets[p], total = total, total + n
+    before = spark.createDataFrame(list(offsets.items()), "part int, before long")
     idf = F.log(F.lit(documents + 1.0) / (F.col("df") + 1)) + 1
-    return placed.select("term", (F.col("before") + F.col("rank")).alias("index"), "df", idf.alias("idf"))
+    index = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select("term", index.alias("index"), "df", idf.alias("idf"))
 
 
 def transformed(counts: DataFrame, terms: DataFrame, spec: Spec) -> DataFrame:

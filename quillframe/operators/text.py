@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as T
 from quillframe.functions import unicode as U
 from quillframe.functions.lexicon import function_words
+from quillframe.functions.stats import quantiles
+from quillframe.plans.tables import keyed
 
 WINDOW = 100
 
@@ -29,18 +31,31 @@ def tokenized(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("tokens", T.tokens(F.col("text"))).withColumn("words", F.filter("tokens", lambda t: t.rlike(r"^\p{L}")))
 
 
+def surface_event_list() -> Column:
+    """Line endings, whitespace classes and markers."""
+    text = F.col("text")
+    return F.concat(_entries(T.line_endings(text), "text.surface.line_ending"), _entries(T.whitespace_classes(text), "text.surface.whitespace_class"), _entries(T.markers(text), "text.surface.marker_style"))
+
+
 def surface_events(artifacts: DataFrame) -> DataFrame:
     """Line endings, whitespace classes and markers as (artifact_id, feature_id, key, n)."""
-    text = F.col("text")
-    every = F.concat(_entries(T.line_endings(text), "text.surface.line_ending"), _entries(T.whitespace_classes(text), "text.surface.whitespace_class"), _entries(T.markers(text), "text.surface.marker_style"))
-    return artifacts.select("artifact_id", F.inline(every))
+    return artifacts.select("artifact_id", F.inline(surface_event_list()))
+
+
+def counted(array: Column, feature: str) -> Column:
+    """Events of the values of a short-ranged array of numbers, counted within the row."""
+    return F.transform(F.array_distinct(array), lambda k: _event(feature, k, F.size(F.filter(array, lambda x: x == k))))
+
+
+def token_event_list() -> Column:
+    """Word lengths and token kinds, from tokens and words."""
+    kinds = T.counts({"word": F.size("words"), "number": F.size("tokens") - F.size("words")})
+    return F.concat(counted(F.transform("words", lambda w: F.least(F.length(w), F.lit(31))), "text.lexical.word_length"), _entries(kinds, "text.lexical.token_kind"))
 
 
 def token_events(artifacts: DataFrame) -> DataFrame:
     """Word lengths and token kinds."""
-    kinds = T.counts({"word": F.size("words"), "number": F.size("tokens") - F.size("words")})
-    every = F.concat(_each(F.col("words"), "text.lexical.word_length", lambda w: F.least(F.length(w), F.lit(31))), _entries(kinds, "text.lexical.token_kind"))
-    return tokenized(artifacts).select("artifact_id", F.inline(every)).groupBy("artifact_id", "feature_id", "key").agg(F.sum("n").alias("n"))
+    return tokenized(artifacts).select("artifact_id", F.inline(token_event_list()))
 
 
 def structured(artifacts: DataFrame) -> DataFrame:
@@ -48,16 +63,20 @@ def structured(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("paragraphs", T.paragraphs(F.col("text"))).withColumn("sentences", F.transform("paragraphs", T.sentences))
 
 
-def structure_events(artifacts: DataFrame) -> DataFrame:
-    """Lengths of sentences and paragraphs."""
+def structure_event_list() -> Column:
+    """Lengths of sentences and paragraphs, from paragraphs and sentences."""
     flat = F.flatten("sentences")
-    every = F.concat(
-        _each(flat, "text.structure.sentence_length_tokens", lambda s: F.least(F.size(T.tokens(s)), F.lit(101))),
-        _each(flat, "text.structure.sentence_length_characters", lambda s: F.least(F.length(s), F.lit(501))),
-        _each(F.col("sentences"), "text.structure.paragraph_sentence_count", lambda p: F.least(F.size(p), F.lit(51))),
-        _each(F.col("paragraphs"), "text.structure.paragraph_token_count", lambda p: F.least(F.size(T.tokens(p)), F.lit(501))),
+    return F.concat(
+        counted(F.transform(flat, lambda s: F.least(F.size(T.tokens(s)), F.lit(101))), "text.structure.sentence_length_tokens"),
+        counted(F.transform(flat, lambda s: F.least(F.length(s), F.lit(501))), "text.structure.sentence_length_characters"),
+        counted(F.transform("sentences", lambda p: F.least(F.size(p), F.lit(51))), "text.structure.paragraph_sentence_count"),
+        counted(F.transform("paragraphs", lambda p: F.least(F.size(T.tokens(p)), F.lit(501))), "text.structure.paragraph_token_count"),
     )
-    return structured(artifacts).select("artifact_id", F.inline(every)).groupBy("artifact_id", "feature_id", "key").agg(F.sum("n").alias("n"))
+
+
+def structure_events(artifacts: DataFrame) -> DataFrame:
+    """Lengths of sentences and paragraphs."""
+    return structured(artifacts).select("artifact_id", F.inline(structure_event_list()))
 
 
 def structure_scalars(artifacts: DataFrame) -> DataFrame:
@@ -65,8 +84,8 @@ def structure_scalars(artifacts: DataFrame) -> DataFrame:
 
 
 def character_counts(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, char, n): grouped within its task before any join, so that no row per character is shuffled."""
-    return artifacts.select("artifact_id", F.explode(T.extract(F.col("text"), "(?s).")).alias("char")).groupBy("artifact_id", "char").agg(F.count(F.lit(1)).alias("n"))
+    """(artifact_id, char, n); texts are dealt out before they are taken apart, so that no row per character is shuffled."""
+    return keyed(artifacts).select("artifact_id", F.explode(T.extract(F.col("text"), "(?s).")).alias("char")).groupBy("artifact_id", "char").agg(F.count(F.lit(1)).alias("n"))
 
 
 def category_events(artifacts: DataFrame) -> DataFrame:
@@ -81,8 +100,15 @@ def category_events(artifacts: DataFrame) -> DataFrame:
 
 
 def word_types(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, word, n) by casefolded word."""
-    return artifacts.select("artifact_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("artifact_id", U.casefold(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    """(artifact_id, word, n) by casefolded word; texts are dealt out before they are taken apart."""
+    return keyed(artifacts).select("artifact_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("artifact_id", U.casefold(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_types(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, language, word, number, n): word types, one row for all numbers, and one with n = 0 where there is no token."""
+    rows = keyed(artifacts).select("artifact_id", "language", F.explode_outer(T.tokens(F.col("text"))).alias("t"))
+    is_word = F.coalesce(F.col("t").rlike(r"^\p{L}"), F.lit(False))
+    return rows.groupBy("artifact_id", "language", F.when(is_word, U.casefold(F.col("t"))).alias("word"), (~is_word).alias("number")).agg(F.count("t").alias("n"))
 
 
 def diversity(types: DataFrame) -> DataFrame:
@@ -99,33 +125,58 @@ def diversity(types: DataFrame) -> DataFrame:
 
 def lexical_scalars(artifacts: DataFrame) -> DataFrame:
     """Counts and ratios of every artifact; ratios of nothing are null."""
-    base = tokenized(artifacts).select("artifact_id", F.size("words").cast("bigint").alias("word_count"), (F.size("tokens") - F.size("words")).cast("bigint").alias("number_count"))
-    found = diversity(word_types(artifacts)).drop("word_count")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("type_count", "hapax_count")}
-    joined = base.join(found, "artifact_id", "left").withColumns(zero)
-    return joined.withColumns({"ttr": F.try_divide("type_count", "word_count"), "hapax_share": F.try_divide("hapax_count", "word_count")})
+    return type_scalars(token_types(artifacts))
+
+
+def type_scalars(types: DataFrame) -> DataFrame:
+    """lexical_scalars() from token_types(), with the number of matched function words."""
+    word, n = F.col("word").isNotNull(), F.when(F.col("word").isNotNull(), F.col("n"))
+    total, square = F.sum(n), F.sum(n * n)
+    rows = types.groupBy("artifact_id").agg(
+        F.coalesce(total, F.lit(0)).alias("word_count"),
+        F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("number_count"),
+        F.count_if(word).alias("type_count"),
+        F.count_if(word & (F.col("n") == 1)).alias("hapax_count"),
+        (F.log2(total) - F.sum(n * F.log2(n)) / total).alias("entropy_bits"),
+        (square / (total * total)).alias("simpson"),
+        F.coalesce(F.sum(F.when(F.array_contains(F.array(*map(F.lit, function_words())), F.col("word")), F.col("n"))), F.lit(0)).alias("matched"),
+        F.first("language", ignorenulls=True).alias("language"),
+    )
+    return rows.withColumns({"ttr": F.try_divide("type_count", "word_count"), "hapax_share": F.try_divide("hapax_count", "word_count")})
 
 
 def window_ttr(artifacts: DataFrame, size: int = WINDOW) -> DataFrame:
     """Summary of the type share in consecutive full windows of words; a rest is dropped."""
-    placed = artifacts.select("artifact_id", F.posexplode(T.words(F.col("text"))).alias("i", "w"))
+    placed = keyed(artifacts).select("artifact_id", F.posexplode(T.words(F.col("text"))).alias("i", "w"))
     windows = placed.groupBy("artifact_id", F.floor(F.col("i") / size).alias("window")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(U.casefold(F.col("w"))).alias("types"))
     return summarized(windows.filter(F.col("n") == size).withColumn("x", F.col("types") / size), ["artifact_id"], "x")
 
 
 def summarized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Summary statistics with type-7 quartiles; the deviation of one value is null."""
+    """Summary statistics of groups that are small, as one artifact's, with type-7 quartiles; the deviation of one value is null."""
     q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("minimum"), q.alias("q"), F.max(value).alias("maximum"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sample_sd"))
     return out.select(*keys, "n", "minimum", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "maximum", "mean", "sample_sd")
 
 
+def summarized_at_scale(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same for groups of any size: quartiles from running counts over ranges of values."""
+    counted_ = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("times"))
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sample_sd"))
+    q = quantiles(counted_, keys, value, "times", {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("units")
+    return out.join(q, keys).select(*keys, "n", "minimum", "q25", "median", "q75", "maximum", "mean", "sample_sd")
+
+
 def function_word_events(artifacts: DataFrame) -> DataFrame:
     """Matched function words of English artifacts."""
+    return matched_events(token_types(artifacts.filter("language = 'en'")))
+
+
+def matched_events(types: DataFrame) -> DataFrame:
+    """function_word_events() from token_types()."""
     lexemes = F.array(*map(F.lit, function_words()))
-    english = artifacts.filter("language = 'en'").select("artifact_id", F.explode(T.words(F.col("text"))).alias("w"))
-    matched = english.select("artifact_id", U.casefold(F.col("w")).alias("key")).filter(F.array_contains(lexemes, F.col("key")))
-    return matched.groupBy("artifact_id", "key").agg(F.count(F.lit(1)).alias("n")).select("artifact_id", F.lit("text.function_words.en.lexeme_distribution").alias("feature_id"), "key", "n")
+    found = types.filter((F.col("language") == "en") & F.array_contains(lexemes, F.col("word")))
+    return found.select("artifact_id", F.lit("text.function_words.en.lexeme_distribution").alias("feature_id"), F.col("word").alias("key"), "n")
 
 
 def sample_scalars(artifacts: DataFrame) -> DataFrame:

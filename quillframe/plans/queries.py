@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import stats
 from quillframe.functions.lexicon import function_words
 from quillframe.operators import aggregate, benchmark, code, compare, corpus, observations, profile, python_code, represent, text, verify
+from quillframe.plans.tables import spread, written
 from quillframe.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,11 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact_id"), "text", F.col("lang").alias("language"), F.lit("text").alias("kind"), F.col("source").alias("set_id"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact_id"), "text", F.col("lang").alias("language"), F.lit("text").alias("kind"), F.col("source").alias("set_id"))
+    return spread(rows)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), F.col("html").alias("text"), F.lit("und").alias("language"), F.lit("code").alias("kind"))
+    return spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), F.col("html").alias("text"), F.lit("und").alias("language"), F.lit("code").alias("kind")))
 
 
 def ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -193,9 +195,7 @@ def function_word_dist(spark, sf_dir):
 round(count(*) FILTER (WHERE cf IN ({word_list_sql()})) / count(*), 9) AS share FROM wrd WHERE lang = 'en' GROUP BY doc_id""")
 def function_word_share(spark, sf_dir):
     english = documents(spark, sf_dir).filter("language = 'en'")
-    matched = text.function_word_events(english).groupBy("artifact_id").agg(F.sum("n").alias("m"))
-    rows = text.tokenized(english).select("artifact_id", F.size("words").cast("bigint").alias("denominator")).filter("denominator > 0").join(matched, "artifact_id", "left")
-    out = rows.select("artifact_id", F.coalesce("m", F.lit(0)).alias("numerator"), "denominator")
+    out = text.lexical_scalars(english).filter("word_count > 0").select("artifact_id", F.col("matched").alias("numerator"), F.col("word_count").alias("denominator"))
     return ids(rounded(out.withColumn("share", F.col("numerator") / F.col("denominator")), "share"))
 
 
@@ -282,7 +282,7 @@ def code_fingerprints(spark, sf_dir):
 
 
 def _lexical(docs: DataFrame) -> DataFrame:
-    return ok(observations.from_scalars(text.lexical_scalars(docs), {"text.lexical.ttr_casefold": observations._ratio("type_count", "word_count"), "text.lexical.word_simpson_concentration_casefold": {"scalar": F.col("simpson"), "support_count": F.col("word_count")}, "text.lexical.hapax_token_share_casefold": observations._ratio("hapax_count", "word_count")}))
+    return written(ok(observations.from_scalars(text.lexical_scalars(docs), {"text.lexical.ttr_casefold": observations._ratio("type_count", "word_count"), "text.lexical.word_simpson_concentration_casefold": {"scalar": F.col("simpson"), "support_count": F.col("word_count")}, "text.lexical.hapax_token_share_casefold": observations._ratio("hapax_count", "word_count")})), "observations")
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ c AS (SELECT l, r, abs(sum(pa) OVER w - sum(pb) OVER w) AS d, lead(k) OVER w - k
 SELECT concat(l, '-', r) AS pair_id, 'text.lexical.word_length' AS feature_id, 'W1' AS metric, round(coalesce(sum(d * gap), 0), 8) AS value FROM c GROUP BY l, r""")
 def compare_wordlen_w1(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    obs = ok(observations.from_events(text.token_events(docs).filter("feature_id = 'text.lexical.word_length'")))
+    obs = written(ok(observations.from_events(text.token_events(docs).filter("feature_id = 'text.lexical.word_length'"))), "observations")
     return _values(compare.compared(_pairs(docs), obs).filter("reason is null"), 8)
 
 
@@ -320,7 +320,7 @@ SELECT concat(l, '-', r) AS pair_id, 'text.surface.letter_case' AS feature_id, '
 round(sqrt(greatest(sum((CASE WHEN pa > 0 THEN pa * log2(2 * pa / (pa + pb)) ELSE 0 END + CASE WHEN pb > 0 THEN pb * log2(2 * pb / (pa + pb)) ELSE 0 END) / 2), 0)), 6) AS value FROM x GROUP BY l, r""")
 def compare_case_jsd(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    obs = ok(observations.from_events(text.category_events(docs).filter("feature_id = 'text.surface.letter_case'")))
+    obs = written(ok(observations.from_events(text.category_events(docs).filter("feature_id = 'text.surface.letter_case'"))), "observations")
     return _values(compare.compared(_pairs(docs), obs).filter("reason is null"), 6)
 
 
@@ -343,8 +343,7 @@ round(count(*) FILTER (WHERE cf IN ({word_list_sql()})) / count(*), 9) AS value,
 def pool_ratios(spark, sf_dir):
     docs = documents(spark, sf_dir)
     english = docs.filter("language = 'en'")
-    matched = text.function_word_events(english).groupBy("artifact_id").agg(F.sum("n").alias("m"))
-    wide = text.tokenized(english).select("artifact_id", F.size("words").cast("bigint").alias("w")).filter("w > 0").join(matched, "artifact_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    wide = text.lexical_scalars(english).filter("word_count > 0").select("artifact_id", F.col("word_count").alias("w"), F.col("matched").alias("m"))
     pieces = observations.from_scalars(wide, {"text.function_words.en.token_share": observations._ratio("m", "w")})
     return rounded(aggregate.pooled_ratios(_members(docs), ok(pieces)), "value")
 
@@ -438,14 +437,14 @@ _TFIDF = represent.Spec("word", 1, 1, "tfidf")
 SELECT cf AS term, index, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 9) AS idf FROM v""")
 def vocabulary(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return rounded(represent.vocabulary(represent.grams(docs, _TFIDF), docs.count()), "idf")
+    return rounded(represent.vocabulary(written(represent.grams(docs, _TFIDF), "counts"), docs.count()), "idf")
 
 
 @query(f"""WITH {TOK}, {WRD}, {TYP}, v AS (SELECT cf, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf, row_number() OVER (ORDER BY hex(cf)) - 1 AS index FROM typ GROUP BY cf),
 r AS (SELECT doc_id, index, n * idf AS x FROM typ JOIN v USING (cf)) SELECT doc_id, index, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 7) AS value FROM r""")
 def word_tfidf(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    counts = represent.grams(docs, _TFIDF)
+    counts = written(represent.grams(docs, _TFIDF), "counts")
     return ids(rounded(represent.transformed(counts, represent.vocabulary(counts, docs.count()), _TFIDF), "value", digits=7))
 
 

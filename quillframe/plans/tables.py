@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the cluster names no shared folder and all tasks run in the driver's process, as in local tests.
@@ -53,3 +53,34 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int, rows: str =
     hot = F.broadcast(right.filter(F.col(rows) * HOT_KEYS > total).drop(rows))
     cold = right.filter(F.col(rows) * HOT_KEYS <= total).drop(rows)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def parallelism(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as a shuffle has, if it comes in fewer (a few small files); else as it is."""
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def keyed(df: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """df dealt out by its key before rows are taken apart, so that groupings by the key and more don't shuffle the parts."""
+    return df.repartition(max(parallelism(df.sparkSession), df.rdd.getNumPartitions()), key)
+
+
+def sums_before(df: DataFrame, keys: list[str], order: list[str], **sums: str) -> DataFrame:
+    """df with the sum of columns (out=column) over the rows of the same keys that come before in order; rows equal in order come in any.
+
+    Rows are dealt out by ranges, so that a hot key is in many parts: sums run within a part and are offset by those of the parts before.
+    """
+    marks = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    dealt = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order).withColumn("__part", F.spark_partition_id())
+    rows = written(dealt.withColumn("__of", F.xxhash64(F.lit(0), *marks)), "ranges")
+    totals = rows.groupBy("__of", "__part").agg(*[F.sum(c).alias(f"__{out}") for out, c in sums.items()])
+    ahead = Window.partitionBy("__of").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__of", "__part", *[F.coalesce(F.sum(f"__{out}").over(ahead), F.lit(0)).alias(f"__{out}") for out in sums])
+    within = Window.partitionBy("__of", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumns({out: F.coalesce(F.sum(c).over(within), F.lit(0)) for out, c in sums.items()}).join(offsets, ["__of", "__part"])
+    return run.withColumns({out: F.col(out) + F.col(f"__{out}") for out in sums}).drop("__of", "__part", *[f"__{out}" for out in sums])
