@@ -28,6 +28,13 @@ def pooled_status(members: DataFrame, observations: DataFrame) -> DataFrame:
     return found.unionByName(absent).groupBy("set_id", "feature_id", "status").agg(F.sum("n").alias("n"))
 
 
+def pooled_counts(members: DataFrame, observations: DataFrame) -> DataFrame:
+    """Features that don't pool: (set_id, feature_id, samples, missing)."""
+    rows = pooled_status(members, observations).filter(F.col("feature_id").isin(_ids("NONE")))
+    ok = F.col("status") == "ok"
+    return rows.groupBy("set_id", "feature_id").agg(F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("samples"), F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("missing"))
+
+
 def pooled_sums(members: DataFrame, observations: DataFrame) -> DataFrame:
     """Exact sums of counts."""
     rows = _members(members, observations).filter(F.col("feature_id").isin(_ids("SUM")) & (F.col("status") == "ok"))

@@ -6,21 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import stats
-from quillframe.plans.registry import FEATURES, SEMANTIC_VERSION
+from quillframe.operators import gates
+from quillframe.plans.registry import FEATURES
+from quillframe.plans.tables import sums_before, written
 
 METRICS = {f.feature_id: f.metric for f in FEATURES.values() if f.metric != "NONE"}
 UNITS = {"ABS": "proportion points on [0,1]", "JSD2": "distance on [0,1]"}
 
 
-def compatibility(observations: DataFrame, runtime: str = "", resources: str = "") -> DataFrame:
-    """observations with compat_sha256, over feature, version, resources and, for runtime-sensitive features, runtime."""
-    sensitive = F.col("feature_id").isin([f.feature_id for f in FEATURES.values() if f.runtime_sensitive])
-    parts = F.concat_ws("\u0000", F.col("feature_id"), F.lit(SEMANTIC_VERSION), F.lit(resources), F.when(sensitive, F.lit(runtime)).otherwise(F.lit("")))
-    return observations.withColumn("compat_sha256", F.sha2(parts, 256))
-
-
 def _side(pairs: DataFrame, observations: DataFrame, side: str) -> DataFrame:
-    fields = [c for c in ("status", "scalar", "cat", "hist", "support_count", "compat_sha256") if c in observations.columns]
+    fields = [c for c in ("status", "scalar", "cat", "hist", "support_count", "compat_sha256", *gates.SIGNATURE) if c in observations.columns]
     own = observations.filter(F.col("feature_id").isin(list(METRICS))).select(F.col("artifact_id").alias(side), "feature_id", *[F.col(c).alias(f"{side}_{c}") for c in fields])
     return pairs.join(own, side).select("pair_id", "feature_id", *[f"{side}_{c}" for c in fields])
 
@@ -38,13 +33,18 @@ def distance(metric: Column) -> Column:
 def compared(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     """pairs(pair_id, left, right) to one row per pair and comparable feature of either side.
 
-    value is null and reason is given where the feature isn't ok on both sides or the two aren't compatible.
+    value is null and reason is given where the feature isn't ok on both sides, or, of observations that gates.signed()
+    signed, where the two aren't compatible: the first condition that fails. Equal hashes are compatible.
     """
     both = _side(pairs, observations, "left").join(_side(pairs, observations, "right"), ["pair_id", "feature_id"], "full")
     ok = (F.col("left_status") == "ok") & (F.col("right_status") == "ok")
-    gate = (F.col("left_compat_sha256") == F.col("right_compat_sha256")) if "left_compat_sha256" in both.columns else F.lit(True)
+    parted = F.lit(None).cast("string")
+    if "left_compat_sha256" in both.columns:
+        sides = [{c: F.col(f"{side}_{c}") for c in gates.SIGNATURE} for side in ("left", "right")]
+        equal = F.coalesce(F.col("left_compat_sha256") == F.col("right_compat_sha256"), F.lit(False))
+        parted = F.when(~equal, gates.mismatch(F.col("feature_id"), *sides))
     metric = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[F.col("feature_id")]
-    reason = F.when(~F.coalesce(ok, F.lit(False)), "FEATURE_NOT_COMPARABLE").when(~gate, "INCOMPATIBLE")
+    reason = F.when(~F.coalesce(ok, F.lit(False)), "FEATURE_NOT_COMPARABLE").otherwise(parted)
     rows = both.withColumn("metric", metric).withColumn("reason", reason)
     return rows.select(
         "pair_id", "feature_id", "metric", F.when(F.col("reason").isNull(), distance(F.col("metric"))).alias("value"), F.col("left_support_count").alias("left_support"), F.col("right_support_count").alias("right_support"),
@@ -52,13 +52,35 @@ def compared(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(artifacts: DataFrame, group: str, order: str, buckets: int = 64) -> DataFrame:
-    """(pair_id, left, right): each artifact with the next one of its group and slice, for tests and examples."""
-    from pyspark.sql import Window
+def neighbours(artifacts: DataFrame, group: str, order: str) -> DataFrame:
+    """(pair_id, left, right): each artifact with the next one of its group, for tests and examples; ranks are taken by ranges."""
+    rows = sums_before(artifacts.select("artifact_id", group, F.col(order).alias("by"), F.lit(1).alias("one")), [group], ["by"], at="one")
+    left, right = rows.select(group, F.col("artifact_id").alias("left"), (F.col("at") + 1).alias("at")), rows.select(group, "at", F.col("artifact_id").alias("right"))
+    return left.join(right, [group, "at"]).select(F.concat_ws("-", F.col("left").cast("string"), F.col("right").cast("string")).alias("pair_id"), "left", "right")
+
+
+#: Sections of what stands in a source, and the kinds of text in each.
+SECTIONS = {"embedded.comments": ("comment_block", "inline_comment"), "embedded.docstrings": ("docstring",)}
 
-    by = Window.partitionBy(group, F.floor(F.col(order) / F.lit(buckets))).orderBy(order)
-    rows = artifacts.withColumn("right", F.lead("artifact_id").over(by)).filter("right is not null")
-    return rows.select(F.concat_ws("-", F.col("artifact_id").cast("string"), F.col("right").cast("string")).alias("pair_id"), F.col("artifact_id").alias("left"), "right")
+
+def compared_bundles(pairs: DataFrame, observations: DataFrame, embedded: DataFrame, measured) -> DataFrame:
+    """(pair_id, feature_id, metric, value) of sources and of the prose in them: embedded(artifact_id, ordinal, kind, text).
+
+    The texts of a source's section are measured by measured(artifacts), pooled and compared as a set; features of a section
+    carry its name in front. A section that one side hasn't is skipped.
+    """
+    from quillframe.operators import aggregate
+
+    fields = ["pair_id", "feature_id", "metric", "value"]
+    out = compared(pairs, observations).filter("value is not null").select(*fields)
+    key = F.concat_ws(":", F.col("artifact_id").cast("string"), F.col("ordinal").cast("string"))
+    texts = embedded.select(key.alias("artifact_id"), F.col("artifact_id").alias("parent"), "kind", "text", F.lit("und").alias("language"))
+    found = written(measured(texts.drop("parent", "kind")), "embedded-observations")
+    for name, kinds in SECTIONS.items():
+        members = texts.filter(F.col("kind").isin(*kinds)).select(F.col("parent").alias("set_id"), "artifact_id")
+        pools = aggregate.compared_pools(pairs, members, found)
+        out = out.unionByName(pools.withColumn("feature_id", F.concat_ws(".", F.lit(name), "feature_id")).select(*fields))
+    return out
 
 
 def endpoints(pairs: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 ROW_SCHEMA = "schema string, schema_version string, scientific_sha256 string, canonical_json string, artifact_id string, kind string, language string, byte_count bigint, character_count bigint, ok_feature_count bigint"
 
 
+_COLUMNS = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+SCHEMA, SCHEMA_VERSION = "fingerprint", "1.0.0"
+
+
 def _number(x: float) -> str:
     """A finite number as ECMAScript writes it."""
     if isinstance(x, int):
@@ -78,16 +82,72 @@ def corpus_rows(artifacts: DataFrame, observations: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 features = [{"feature_id": f["feature_id"], "status": f["status"], **json.loads(f["value"])} for f in r["features"]]
                 text = canonical({"artifact_id": str(r["artifact_id"]), "kind": r["kind"], "language": r["language"], "features": features})
-                out.append({"schema": "fingerprint", "schema_version": "1.0.0", "scientific_sha256": hashlib.sha256(text.encode()).hexdigest(), "canonical_json": text, "artifact_id": str(r["artifact_id"]), **{c: r[c] for c in ("kind", "language", "byte_count", "character_count", "ok_feature_count")}})
+                out.append({"schema": SCHEMA, "schema_version": SCHEMA_VERSION, "scientific_sha256": hashlib.sha256(text.encode()).hexdigest(), "canonical_json": text, "artifact_id": str(r["artifact_id"]), **{c: r[c] for c in ("kind", "language", "byte_count", "character_count", "ok_feature_count")}})
             yield pa.RecordBatch.from_pylist(out, pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else pa.int64()) for c in ROW_SCHEMA.split(", ")]))
 
     return rows.mapInArrow(run, ROW_SCHEMA)
 
 
+def _fault(r: dict) -> str | None:
+    """What is wrong with a row, if anything."""
+    import hashlib
+
+    text = r["canonical_json"]
+    if text is None or r["schema"] != SCHEMA or r["schema_version"] != SCHEMA_VERSION:
+        return "IDENTITY"
+    try:
+        value = json.loads(text)
+        if canonical(value) != text:
+            return "NOT_CANONICAL"
+    except (ValueError, TypeError):
+        return "NOT_JSON"
+    if hashlib.sha256(text.encode()).hexdigest() != r["scientific_sha256"]:
+        return "HASH"
+    if not isinstance(value, dict) or any(value.get(c) != r[c] for c in ("artifact_id", "kind", "language")):
+        return "COLUMNS"
+    features = value.get("features")
+    if not isinstance(features, list) or sum(f.get("status") == "ok" for f in features) != r["ok_feature_count"]:
+        return "COLUMNS"
+    return None
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """rows with fault: null, or IDENTITY, NOT_JSON, NOT_CANONICAL, HASH or COLUMNS (those that differ from the JSON)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("fault", pa.array([_fault(r) for r in batch.to_pylist()], pa.string()))
+
+    return rows.select(*_COLUMNS).mapInArrow(run, f"{ROW_SCHEMA}, fault string")
+
+
 def checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose hash holds, and the others."""
-    good = F.coalesce(F.sha2("canonical_json", 256) == F.col("scientific_sha256"), F.lit(False))
-    return rows.filter(good), rows.filter(~good)
+    """Rows that are as they should be, and the others with their fault."""
+    every = validated(rows)
+    return every.filter("fault is null").drop("fault"), every.filter("fault is not null")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """The canonical JSON of each row, one to a line; existing files are refused."""
+    rows.select("canonical_json").write.mode("errorifexists").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of write_json() as corpus rows with fault; sizes aren't part of the JSON and null."""
+    text, count = F.col("value"), F.expr("size(filter(from_json(value, 'features array<struct<status:string>>').features, f -> f.status = 'ok'))")
+    part = lambda c: F.get_json_object(text, f"$.{c}")
+    rows = spark.read.text(path).select(
+        F.lit(SCHEMA).alias("schema"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.sha2(text, 256).alias("scientific_sha256"), text.alias("canonical_json"), *[part(c).alias(c) for c in ("artifact_id", "kind", "language")],
+        F.lit(None).cast("bigint").alias("byte_count"), F.lit(None).cast("bigint").alias("character_count"), F.coalesce(count, F.lit(0)).cast("bigint").alias("ok_feature_count"),
+    )
+    return validated(rows)
+
+
+def frame(rows: DataFrame, kind: str = "arrow"):
+    """Rows on the driver as an Arrow table or a pandas frame, for results that are small."""
+    if kind not in ("arrow", "pandas"):
+        raise ValueError(f"{kind!r} is no kind of frame")
+    return rows.toArrow() if kind == "arrow" else rows.toPandas()
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
@@ -95,6 +155,11 @@ def write_corpus(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
+def scan_corpus(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of corpus files, every one checked again, with fault."""
+    return validated(spark.read.schema(ROW_SCHEMA).parquet(*paths))
+
+
 def open_corpus(spark: SparkSession, *paths: str) -> DataFrame:
     """Corpus files as the view `corpus`; remote schemes are refused."""
     for p in paths:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
@@ -105,8 +105,9 @@ def word_types(artifacts: DataFrame) -> DataFrame:
 
 
 def token_types(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, language, word, number, n): word types, one row for all numbers, and one with n = 0 where there is no token."""
-    rows = keyed(artifacts).select("artifact_id", "language", F.explode_outer(T.tokens(F.col("text"))).alias("t"))
+    """(artifact_id, language (null if not given), word, number, n): word types, one row for all numbers, and one with n = 0 where there is no token."""
+    language = F.col("language") if "language" in artifacts.columns else F.lit(None).cast("string").alias("language")
+    rows = keyed(artifacts).select("artifact_id", language, F.explode_outer(T.tokens(F.col("text"))).alias("t"))
     is_word = F.coalesce(F.col("t").rlike(r"^\p{L}"), F.lit(False))
     return rows.groupBy("artifact_id", "language", F.when(is_word, U.casefold(F.col("t"))).alias("word"), (~is_word).alias("number")).agg(F.count("t").alias("n"))
 
@@ -181,3 +182,12 @@ def matched_events(types: DataFrame) -> DataFrame:
 
 def sample_scalars(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("artifact_id", F.octet_length("text").cast("bigint").alias("byte_count"), F.length("text").cast("bigint").alias("character_count"))
+
+
+def token_offsets(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, ordinal, token, start, end) of every token in code points, end exclusive: the sums of what stands before it."""
+    pattern = f"{U.WORD}|{U.NUMBER}"
+    pieces = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), T.tokens(F.col("text")).alias("token"))
+    rows = keyed(artifacts).select("artifact_id", F.posexplode(pieces).alias("ordinal", "piece")).select("artifact_id", "ordinal", F.col("piece.gap").alias("gap"), F.col("piece.token").alias("token"))
+    end = F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).over(Window.partitionBy("artifact_id").orderBy("ordinal")).cast("int")
+    return rows.withColumn("end", end).filter("token is not null").select("artifact_id", "ordinal", "token", (F.col("end") - F.length("token")).alias("start"), "end")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import stats
+from quillframe.plans.registry import FEATURES, SEMANTIC_VERSION
+from quillframe.plans.tables import written
 
 ITERATIONS, TOLERANCE, LOGIT_LIMIT = 100, 1e-12, 700.0
+MODEL_ID = "logistic-verifier-1"
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,49 @@ class Verifier:
     t_same: float = 0.5
     t_different: float = 0.5
     platt: tuple[float, float] | None = None
+    kind: str = "text"
+    languages: tuple[str, ...] = ()
+    model_id: str = MODEL_ID
+    backend: str = MODEL_ID
+    registry_version: str = SEMANTIC_VERSION
+    metrics: tuple[str, ...] = ()
+
+
+def check_model(model: Verifier, pairs: DataFrame, artifacts: DataFrame) -> None:
+    """Refuses a model that this library can't score with, and pairs(left, right) of artifacts(artifact_id, kind, language) outside its kind and languages."""
+    if model.model_id != MODEL_ID or model.backend != MODEL_ID:
+        raise ValueError(f"the model {model.model_id!r} with backend {model.backend!r} isn't {MODEL_ID!r}")
+    if model.registry_version != SEMANTIC_VERSION:
+        raise ValueError(f"the model's registry {model.registry_version!r} isn't {SEMANTIC_VERSION!r}")
+    for i, name in enumerate(model.features):
+        if name not in FEATURES:
+            raise ValueError(f"the model's feature {name!r} isn't known")
+        if model.metrics and model.metrics[i] != FEATURES[name].metric:
+            raise ValueError(f"the model's metric of {name!r} isn't {FEATURES[name].metric!r}")
+    ends = pairs.select(F.explode(F.array("left", "right")).alias("artifact_id")).join(artifacts.select("artifact_id", "kind", "language"), "artifact_id")
+    wrong = F.col("kind") != model.kind
+    if model.languages:
+        wrong = wrong | ~F.col("language").isin(*model.languages)
+    if (bad := ends.filter(F.coalesce(wrong, F.lit(True))).first()) is not None:
+        raise ValueError(f"{bad['artifact_id']}: kind {bad['kind']!r} or language {bad['language']!r} is outside the model's scope")
+
+
+#: Features by prefix that apply to some languages only.
+SCOPES = {"text.function_words.en.": {"en"}, "code.python.": {"python"}, "code.toolchain.": {"python"}, "code.parser.": {"javascript", "typescript", "c", "rust"}}
+
+
+def candidates(kind: str, languages: tuple[str, ...] = (), features: tuple[str, ...] | None = None, linguistic: bool = False) -> list[str]:
+    """Features that a model of the kind may use: those that compare, apply to all the languages, and, unless asked for, aren't linguistic."""
+    for name in features or ():
+        if name not in FEATURES or FEATURES[name].metric == "NONE" or FEATURES[name].kind != kind:
+            raise ValueError(f"{name!r} is no feature that compares for the kind {kind!r}")
+    chosen = []
+    for name in features if features is not None else sorted(FEATURES):
+        scope = next((s for p, s in SCOPES.items() if name.startswith(p)), None)
+        fits = scope is None or (bool(languages) and set(languages) <= scope)
+        if FEATURES[name].metric != "NONE" and FEATURES[name].kind == kind and fits and (linguistic or not name.startswith("text.linguistic.")):
+            chosen.append(name)
+    return chosen
 
 
 def sigmoid(x: Column) -> Column:
@@ -112,31 +158,42 @@ def newton(rows: DataFrame, size: int, penalty: float, iterations: int = ITERATI
     raise ArithmeticError("the fit didn't converge")
 
 
-def fitted(components: DataFrame, pairs: DataFrame, candidates: list[str] | None = None, penalty: float = 1.0, fraction: float = 0.9, class_fraction: float = 0.8, calibration: DataFrame | None = None, alpha: float = 0.05, platt: bool = False, tolerance: float = 1e-10) -> Verifier:
-    """The model of labelled pairs(pair_id, label); calibration pairs set the thresholds and the probabilities."""
-    from quillframe.plans.tables import written
+def fitted(components: DataFrame, pairs: DataFrame, candidates: list[str] | None = None, penalty: float = 1.0, fraction: float = 0.9, class_fraction: float = 0.8, calibration: DataFrame | None = None, alpha: float = 0.05, platt: bool = False, tolerance: float = TOLERANCE, fixed: tuple[float, float] | None = None, min_pairs: int = 1, kind: str = "text", languages: tuple[str, ...] = ()) -> Verifier:
+    """The model of labelled pairs(pair_id, label); calibration pairs set the thresholds and the probabilities.
 
+    fixed: thresholds (same, different) that aren't fitted. Fewer complete pairs than min_pairs, or none of a class, are refused.
+    """
+    if platt and calibration is None:
+        raise ValueError("probabilities need calibration pairs")
+    if fixed is not None and fixed[1] > fixed[0]:
+        raise ValueError("the threshold for different must not exceed that for same")
     values = pair_values(components, pairs)
     if candidates is not None:
         values = values.filter(F.col("feature_id").isin(candidates))
     values = written(values, "pair-values")
     features = supported(values, pairs, fraction, class_fraction)
+    if not features:
+        raise ValueError("no feature has enough support")
     raw = written(design(values, features), "design")
+    whole, positive = raw.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if whole < min_pairs or not 0 < (positive or 0) < whole:
+        raise ValueError(f"{whole} complete pairs, {int(positive or 0)} of them same, aren't enough")
     stats_ = raw.agg(*[f(F.element_at("x", i + 1)) for i in range(len(features)) for f in (F.avg, F.stddev_pop)]).first()
     means, scales = [stats_[2 * i] for i in range(len(features))], [stats_[2 * i + 1] or 1.0 for i in range(len(features))]
     centred = raw.select("y", F.transform(F.arrays_zip("x", F.array(*map(F.lit, means)).alias("m"), F.array(*map(F.lit, scales)).alias("s")), lambda e: (e["x"] - e["m"]) / e["s"]).alias("x"))
     w = newton(written(centred, "design"), len(features), penalty, tolerance=tolerance)
-    model = Verifier(tuple(features), tuple(means), tuple(scales), tuple(map(float, w[:-1])), float(w[-1]))
+    bounds = fixed or (0.5, 0.5)
+    model = Verifier(tuple(features), tuple(means), tuple(scales), tuple(map(float, w[:-1])), float(w[-1]), *bounds, None, kind, languages, metrics=tuple(FEATURES[f].metric for f in features if f in FEATURES))
     if calibration is None:
         return model
     known = scored(components.join(calibration.select("pair_id"), "pair_id", "left_semi"), model).filter("score is not null").join(calibration.select("pair_id", "label"), "pair_id")
     known = written(known.select("label", "score", "logit"), "calibration")
     q = known.agg(F.percentile(F.when(F.col("label") == "same", F.col("score")), F.lit(alpha)).alias("t_same"), F.percentile(F.when(F.col("label") == "different", F.col("score")), F.lit(1 - alpha)).alias("t_different")).first()
-    t_same, t_different = q["t_same"], q["t_different"]
+    t_same, t_different = fixed or (q["t_same"], q["t_different"])
     if t_different > t_same:
         t_same = t_different = (t_same + t_different) / 2
     slope = None
     if platt:
         a = newton(known.select((F.col("label") == "same").cast("double").alias("y"), F.array("logit").alias("x")), 1, 0.0, tolerance=tolerance)
         slope = (float(a[0]), float(a[1]))
-    return Verifier(model.features, model.means, model.scales, model.weights, model.intercept, t_same, t_different, slope)
+    return replace(model, t_same=t_same, t_different=t_different, platt=slope)

@@ -62,12 +62,12 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """df in as many parts as a shuffle has, if it comes in fewer (a few small files); else as it is."""
     n = parallelism(df.sparkSession)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
 
 
 def keyed(df: DataFrame, key: str = "artifact_id") -> DataFrame:
     """df dealt out by its key before rows are taken apart, so that groupings by the key and more don't shuffle the parts."""
-    return df.repartition(max(parallelism(df.sparkSession), df.rdd.getNumPartitions()), key)
+    return df.repartition(max(parallelism(df.sparkSession), 0 if df.isStreaming else df.rdd.getNumPartitions()), key)
 
 
 def sums_before(df: DataFrame, keys: list[str], order: list[str], **sums: str) -> DataFrame:

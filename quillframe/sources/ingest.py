@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,53 @@ MAX_BYTES, MAX_FILES, MAX_TOTAL = 8_388_608, 10_000, 536_870_912
 
 
 def from_text(rows: DataFrame, text: str = "text", artifact_id: str = "artifact_id", language: str | None = None) -> DataFrame:
-    """(artifact_id, kind, language, text, content_sha256); a NUL character is refused by leaving the row out."""
-    chosen = F.col(language) if language else F.lit("und")
-    ok = rows.filter(F.col(text).isNotNull() & ~F.contains(F.col(text), F.lit("\0")))
-    return ok.select(F.col(artifact_id).alias("artifact_id"), F.lit("text").alias("kind"), chosen.alias("language"), F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("content_sha256"))
+    """(artifact_id, kind, language, text, content_sha256, reason); a text that is null or holds a NUL is null and has a reason."""
+    chosen, t = F.col(language) if language else F.lit("und"), F.col(text)
+    reason = F.when(t.isNull(), "NULL").when(F.contains(t, F.lit("\0")), "NUL")
+    out = rows.select(F.col(artifact_id).alias("artifact_id"), F.lit("text").alias("kind"), chosen.alias("language"), F.when(reason.isNull(), t).alias("text"), reason.alias("reason"))
+    return out.withColumn("content_sha256", F.sha2("text", 256)).select("artifact_id", "kind", "language", "text", "content_sha256", "reason")
+
+
+def decoded(rows: DataFrame, content: str = "content", encoding: str = "utf-8") -> DataFrame:
+    """rows with text and reason: content decoded strictly by any codec that Python knows (a UTF-8 mark at the beginning is no text), in Arrow batches."""
+    import codecs
+
+    name = codecs.lookup(encoding).name
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+    def one(raw: bytes | None) -> tuple[str | None, str | None]:
+        if raw is None:
+            return None, "NULL"
+        try:
+            text = raw.decode("utf-8-sig" if name == "utf-8" else name)
+        except (UnicodeDecodeError, ValueError):
+            return None, "UNDECODABLE"
+        return (None, "NUL") if "\0" in text else (text, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(raw) for raw in batch.column(batch.schema.get_field_index(content)).to_pylist()]
+            yield batch.append_column("text", pa.array([t for t, _ in found], pa.string())).append_column("reason", pa.array([r for _, r in found], pa.string()))
+
+    return rows.mapInArrow(run, ", ".join([*fields, "text string", "reason string"]))
+
+
+def from_files(spark: SparkSession, paths: list[str], stdin: bytes | None = None, **options) -> DataFrame:
+    """(path, content, reason) of files, at most one folder, and what came by standard input (path `-`); a file that is missing or a link has a reason."""
+    import os
+
+    folders = [p for p in paths if os.path.isdir(p) and not os.path.islink(p)]
+    if len(folders) > 1:
+        raise ValueError("one folder at most")
+    bad = [(p, "LINK" if os.path.islink(p) else "MISSING") for p in paths if p not in folders and (os.path.islink(p) or not os.path.isfile(p))]
+    good = [p for p in paths if p not in folders and p not in dict(bad)]
+    out = spark.createDataFrame([(p, None, r) for p, r in bad] + ([("-", bytearray(stdin), None)] if stdin is not None else []), "path string, content binary, reason string")
+    if good:
+        files = spark.read.format("binaryFile").load(good).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", F.lit(None).cast("string").alias("reason"))
+        out = out.unionByName(files)
+    for folder in folders:
+        out = out.unionByName(scan_folder(spark, folder, **options).withColumn("reason", F.lit(None).cast("string")))
+    return out
 
 
 def glob_pattern(pattern: str) -> str:
