@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import stats
 from quillframe.functions.lexicon import function_words
-from quillframe.operators import aggregate, benchmark, code, compare, corpus, observations, profile, python_code, represent, text, verify
+from quillframe.operators import aggregate, benchmark, code, compare, corpus, observations, profile, represent, text, verify
 from quillframe.plans.tables import spread, written
 from quillframe.sources import ingest
 
@@ -66,7 +66,7 @@ TOK = f"tok AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '{T
 WRD = r"wrd AS (SELECT doc_id, lang, source, t AS w, replace(lower(t), 'ß', 'ss') AS cf FROM tok WHERE regexp_matches(t, '^\p{L}'))"
 TYP = "typ AS (SELECT doc_id, cf, count(*) AS n FROM wrd GROUP BY doc_id, cf)"
 LEX = "lex AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS word_count, count(*) AS type_count, count(*) FILTER (WHERE n = 1) AS hapax_count FROM typ GROUP BY doc_id)"
-PAIRS = "pairs AS (SELECT l, r FROM (SELECT doc_id AS l, lead(doc_id) OVER (PARTITION BY lang, doc_id // 64 ORDER BY doc_id) AS r FROM documents) WHERE r IS NOT NULL)"
+PAIRS = "pairs AS (SELECT l, r FROM (SELECT doc_id AS l, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r IS NOT NULL)"
 LEN = "len AS (SELECT doc_id, source, least(length(w), 31) AS k, count(*) AS n FROM wrd GROUP BY ALL)"
 SENT = r"""par AS (SELECT doc_id, text AS p FROM documents WHERE regexp_matches(text, '[^ \n\t]')),
 snt AS (SELECT doc_id, trim(s, E' \n\t') AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(p, '([!?….]+[''")\]}’”»›]*)(\s|$)', E'\\1\x01', 'g'), E'\x01')) AS s FROM par) WHERE trim(s, E' \n\t') <> '')"""
@@ -84,27 +84,11 @@ def ingest_text(spark, sf_dir):
     return ids(rows.select("artifact_id", "content_sha256", F.octet_length("text").cast("bigint").alias("byte_count"), F.length("text").cast("bigint").alias("character_count")))
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*', 0) AS path FROM pages)
-SELECT page_id, CASE e WHEN '.py' THEN 'code' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' WHEN '.js' THEN 'code' END AS kind, e AS ending
-FROM (SELECT page_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS e FROM p)""")
-def ingest_kind(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").withColumn("path", F.regexp_extract("url", "^[^?#]*", 0))
-    kind, _ = ingest.kind_language(F.col("path"))
-    return rows.select("page_id", kind.alias("kind"), F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("ending"))
-
-
 @query(r"""SELECT page_id, regexp_matches(url, '^[^/]*//[^/]*\.example\.net/(?:[^/]+/)*[0-9][^/]*$') AS hit FROM pages""")
 def ingest_glob(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike(ingest.glob_pattern("*//*.example.net/**/[0-9]*")).alias("hit"))
 
 
-@query("""SELECT count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS total, count(*) FILTER (WHERE sha256(html) IS NOT NULL) AS hashed FROM pages WHERE html IS NOT NULL""")
-def ingest_bytes(spark, sf_dir):
-    files = table(spark, sf_dir, "pages").filter("html is not null").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    rows = ingest.from_bytes(files)
-    return rows.filter("reason is null").agg(F.count(F.lit(1)).alias("n"), F.sum("byte_count").alias("total"), F.count("content_sha256").alias("hashed"))
-
-
 # ---- text
 
 @query("SELECT doc_id, strlen(text) AS byte_count, length(text) AS character_count FROM documents")
@@ -223,64 +207,8 @@ def code_line_events(spark, sf_dir):
     return ids(code.line_events(pages(spark, sf_dir)), "page_id")
 
 
-@query(rf"""WITH {_LINES}, b AS (SELECT page_id, i - row_number() OVER (PARTITION BY page_id ORDER BY i) AS g FROM ln WHERE NOT regexp_matches(line, '\S')),
-r AS (SELECT page_id, g, count(*) AS len FROM b GROUP BY ALL)
-SELECT page_id, 'code.surface.blank_run_length' AS feature_id, CAST(least(len, 11) AS VARCHAR) AS key, count(*) AS n FROM r GROUP BY ALL""")
-def code_blank_runs(spark, sf_dir):
-    return ids(code.blank_runs(pages(spark, sf_dir)), "page_id")
-
-
-# ---- Python sources, written from the documents' own columns
-
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small Python module for each document."""
-    d = table(spark, sf_dir, "documents")
-    code_ = F.format_string('# note %d\n# on %s\nvalue_%d = %d + 0x1F  # noqa\n\ndef get%s(a, b=%d, *rest):\n    """Reads %s."""\n    if a:\n        return b\n    return [x for x in rest]\n', "doc_id", "lang", "doc_id", "n_chars", F.initcap("lang"), "doc_id", "lang")
-    return d.select(F.col("doc_id").alias("artifact_id"), code_.alias("text"), F.encode(code_, "UTF-8").alias("raw"), F.lit("python").alias("language"), F.lit("code").alias("kind"))
-
-
-@query("""SELECT doc_id, f AS feature_id, k AS key, CAST(n AS BIGINT) AS n FROM documents, (VALUES ('code.python.lexical.number_form', 'decimal_integer', 2), ('code.python.lexical.number_form', 'hexadecimal', 1), ('code.python.lexical.string_quote', repeat('"', 3), 1),
-('code.python.lexical.string_prefix', '', 1), ('code.toolchain.python_comment_marker', 'noqa', 1), ('code.python.naming.binding_role', 'assignment', 1), ('code.python.naming.binding_role', 'function', 1), ('code.python.naming.binding_role', 'parameter_positional', 2),
-('code.python.naming.binding_role', 'parameter_vararg', 1), ('code.python.naming.binding_role', 'comprehension_target', 1), ('code.python.structure.return_count', '2', 1), ('code.python.structure.branch_construct_count', '2', 1), ('code.python.structure.max_control_nesting', '1', 1),
-('code.python.structure.control_construct', 'if', 1), ('code.python.structure.control_construct', 'list_comprehension', 1), ('code.python.structure.function_length_lines', '5', 1), ('code.python.comments.docstring_length', '9', 1)) v(f, k, n)""")
-def python_events(spark, sf_dir):
-    wanted = ("lexical.number_form", "lexical.string_quote", "lexical.string_prefix", "naming.binding_role", "structure.return_count", "structure.branch_construct_count", "structure.max_control_nesting", "structure.control_construct", "structure.function_length_lines", "comments.docstring_length")
-    rows = python_code.events(python_code.facts(sources(spark, sf_dir)))
-    return ids(rows.filter(F.col("feature_id").isin("code.toolchain.python_comment_marker", *[f"code.python.{w}" for w in wanted])))
-
-
-@query("""SELECT doc_id, ordinal, kind, CASE kind WHEN 'docstring' THEN concat('Reads ', lang, '.') ELSE concat('note ', doc_id, chr(10), 'on ', lang) END AS text, CAST(r AS BIGINT) AS row FROM documents, (VALUES (1, 'comment_block', 1), (2, 'docstring', 6)) v(ordinal, kind, r)""")
-def embedded_text(spark, sf_dir):
-    rows = python_code.embedded(python_code.facts(sources(spark, sf_dir)))
-    return ids(rows.select("artifact_id", "ordinal", "kind", "text", "row"))
-
-
-@query()
-def python_fingerprints(spark, sf_dir):
-    rows = observations.python_fingerprints(sources(spark, sf_dir))
-    return ids(rows.select("artifact_id", "feature_id", "status", "int_value", F.round("scalar", DIGITS).alias("scalar"), "support_count"))
-
-
 # ---- observations and comparison
 
-@query()
-def fingerprints(spark, sf_dir):
-    rows = observations.fingerprints(documents(spark, sf_dir))
-    return ids(rows.select("artifact_id", "feature_id", "status", "int_value", "numerator", "denominator", F.round("scalar", DIGITS).alias("scalar"), "support_count"))
-
-
-@query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'ok' ELSE 'not_applicable' END AS share_status FROM documents""")
-def fingerprint_status(spark, sf_dir):
-    rows = observations.fingerprints(documents(spark, sf_dir)).filter("feature_id = 'text.function_words.en.token_share'")
-    return ids(rows.select("artifact_id", F.col("status").alias("share_status")))
-
-
-@query()
-def code_fingerprints(spark, sf_dir):
-    rows = observations.code_fingerprints(pages(spark, sf_dir))
-    return ids(rows.select("artifact_id", "feature_id", "status", "int_value", F.round("scalar", DIGITS).alias("scalar"), "support_count"), "page_id")
-
-
 def _lexical(docs: DataFrame) -> DataFrame:
     return written(ok(observations.from_scalars(text.lexical_scalars(docs), {"text.lexical.ttr_casefold": observations._ratio("type_count", "word_count"), "text.lexical.word_simpson_concentration_casefold": {"scalar": F.col("simpson"), "support_count": F.col("word_count")}, "text.lexical.hapax_token_share_casefold": observations._ratio("hapax_count", "word_count")})), "observations")
 
@@ -372,13 +300,6 @@ def pool_samples(spark, sf_dir):
     return rounded(rounded(rows, "minimum", "maximum"), "q25", "median", "q75", "mean", "sample_sd", digits=8)
 
 
-@query("""SELECT source AS set_id, CASE WHEN lang = 'en' THEN 'ok' ELSE 'unavailable' END AS status, count(*) AS n FROM documents GROUP BY ALL""")
-def pool_status(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    english = docs.filter("language = 'en'").select("artifact_id", F.lit("text.function_words.en.token_share").alias("feature_id"), F.lit("ok").alias("status"))
-    return aggregate.pooled_status(_members(docs), english).select("set_id", "status", "n")
-
-
 @query(f"""WITH {TOK}, {WRD}, {TYP}, {LEX}, x AS (SELECT source, type_count / word_count AS v FROM lex JOIN documents USING (doc_id)),
 s AS (SELECT DISTINCT source FROM documents), sp AS (SELECT a.source AS l, b.source AS r FROM s a JOIN s b ON a.source < b.source),
 pts AS (SELECT DISTINCT l, r, v FROM sp JOIN x ON x.source IN (l, r)), nn AS (SELECT source, count(*) AS n FROM x GROUP BY source), xc AS (SELECT source, v, count(*) AS c FROM x GROUP BY ALL),
@@ -512,36 +433,8 @@ def verifier_scores(spark, sf_dir):
     return rounded(rows.select("pair_id", "used", "score", "probability", "verdict"), "score", "probability", digits=8)
 
 
-@query(f"""WITH {TOK}, {WRD}, {TYP}, {LEX}, {PAIRS}, {_LABEL}, {_SCORE}, d AS (SELECT label, 1 / (1 + exp(-logit)) AS s, 1 / (1 + exp(-(logit * 1.1 - 0.1))) AS p FROM sc),
-c AS (SELECT count(*) AS n, count(*) FILTER (WHERE s >= 0.6 AND label = 'same') AS tp, count(*) FILTER (WHERE s >= 0.6 AND label <> 'same') AS fp, count(*) FILTER (WHERE s <= 0.4 AND label = 'same') AS fn,
-count(*) FILTER (WHERE s <= 0.4 AND label <> 'same') AS tn, avg((p - (label = 'same')::INT) * (p - (label = 'same')::INT)) AS brier FROM d)
-SELECT n, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp + tn + (n - tp - fp - fn - tn) * (tp + tn) / n) / n, 9) AS c_at_1, round(1.25 * tp / (1.25 * tp + 0.25 * (fn + n - tp - fp - fn - tn) + fp), 9) AS f_05u, round(brier, 8) AS brier FROM c""")
-def decision_metrics(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    labelled, pairs = _labelled(docs)
-    rows = verify.scored(compare.compared(pairs, _lexical(docs)), MODEL).join(labelled.select("pair_id", "label"), "pair_id")
-    out = verify.decision_metrics(rows).drop("auc")
-    return rounded(rounded(out, "f1", "c_at_1", "f_05u"), "brier", digits=8)
-
-
-@query()
-def verifier_fit(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    labelled, pairs = _labelled(docs)
-    model = verify.fitted(compare.compared(pairs, _lexical(docs)), labelled, calibration=labelled, platt=True)
-    rows = [(f, w, m, s) for f, w, m, s in zip(model.features, model.weights, model.means, model.scales)] + [("intercept", model.intercept, 0.0, 1.0), ("t_same", model.t_same, 0.0, 1.0), ("t_different", model.t_different, 0.0, 1.0)]
-    return rounded(spark.createDataFrame(rows, "name string, value double, mean double, scale double"), "value", "mean", "scale", digits=6)
-
-
 # ---- corpus
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS artifact_id, lang AS language, strlen(text) AS byte_count, length(text) AS character_count, CAST(3 AS BIGINT) AS ok_feature_count, TRUE AS hash_holds FROM documents WHERE length(text) > 0")
-def corpus_rows(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    good, _ = corpus.checked(corpus.corpus_rows(docs, _lexical(docs)))
-    return good.filter("character_count > 0").select("artifact_id", "language", "byte_count", "character_count", "ok_feature_count", F.lit(True).alias("hash_holds"))
-
-
 @query("SELECT lang AS language, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS characters FROM documents GROUP BY ROLLUP (lang, source)")
 def corpus_sql_rollup(spark, sf_dir):
     table(spark, sf_dir, "documents").createOrReplaceTempView("corpus")
