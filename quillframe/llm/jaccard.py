@@ -329,15 +329,24 @@ def _verifier(width: int, threshold: float, trees: int):
     return run
 
 
-def joined(docs: DataFrame, signatures: DataFrame, sets: DataFrame, width: int, threshold: float) -> tuple[DataFrame, list[int]]:
-    """(rid, links, root), in parts, of the texts with links, and the depths that the prefixes were shortened to."""
+def classes(signatures: DataFrame) -> DataFrame:
+    """A written row for each shingle set: sets, rep (its least rid), copies, least (by _order()), and the rep's n, sig, d (doc_id) and t (th)."""
+    first = F.min_by(F.struct("n", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t")), "rid")
+    found = signatures.filter("sets is not null").groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(_order()).alias("least"), first.alias("first"))
+    return written(found.select("sets", "rep", "copies", "least", "first.*"), "sets")
+
+
+def joined(docs: DataFrame, sets: DataFrame, width: int, threshold: float) -> tuple[DataFrame, list[int]]:
+    """(rid, links, root), in parts, of the texts with links, and the depths that the prefixes were shortened to; sets: see classes()."""
     trees = n_trees(threshold)
-    own = signatures.join(sets.select(F.col("rep").alias("rid"), "copies"), "rid")
+    own = sets.withColumnRenamed("rep", "rid")
     floor = floor_depth(threshold, trees)
     placed = forest(own.select("rid", "n", "sig"), trees, floor)
     near = placed.filter(F.greatest("before", "after") >= floor)
     total = near.count()
-    info = written(own.join(near.select("rid").distinct(), "rid").select("rid", "copies", "sig", F.col("doc_id").alias("d"), F.col("th").alias("t")), "forest-texts")
+    met = written(near.select("rid").distinct(), "forest-ids")
+    info = written(own.join(met, "rid").select("rid", "copies", "sig", "d", "t"), "forest-texts")
+    discard(met)
     wanted = written(info.select("rid", "copies", "d", "t"), "forest-ids")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
@@ -377,8 +386,8 @@ def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     """
     signatures = signed(docs, width, threshold)
     keyed = signatures.filter("sets is not null")
-    sets = written(keyed.groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(_order()).alias("least")), "sets")
-    found, _ = joined(docs, signatures, sets, width, threshold)
+    sets = classes(signatures)
+    found, _ = joined(docs, sets, width, threshold)
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "rep")
     whole = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     least = sets.join(whole, "rep").groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("rows"))

@@ -685,9 +685,7 @@ def test_jaccard(spark, monkeypatch, block):
 
 def depths_of(spark, texts):
     d = repeated(spark, list(enumerate(texts)))
-    signatures = jaccard.signed(d)
-    sets = signatures.filter("sets is not null").groupBy("sets").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    found, depths = jaccard.joined(d, signatures, sets, jaccard.SHINGLE, jaccard.THRESHOLD)
+    found, depths = jaccard.joined(d, jaccard.classes(jaccard.signed(d)), jaccard.SHINGLE, jaccard.THRESHOLD)
     return found.agg(F.sum("links")).first()[0], depths
 
 
