@@ -43,6 +43,33 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: The most bits of a bitmap that is broadcast: 16 MB.
+BITMAP = 1 << 27
+
+
+def screened(df: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """df without most of the rows whose key, a 64-bit hash, isn't among wanted's, before a join that drops the rest by a shuffle.
+
+    The bitmap has 16 bits for each key up to BITMAP in all, is put together on the executors, and is broadcast; above
+    that it lets more rows pass, never fewer.
+    """
+    small_batches(df.sparkSession)
+    bits = min(BITMAP, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
+    at = wanted.select(F.col(of).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L AS INT)))").alias("bits")).toArrow()
+    bitmap = np.zeros(bits >> 6, dtype=np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            place = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
+            yield batch.filter(pa.array((table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def grouped_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str, bounded: bool = False) -> DataFrame:
     """df with out, the gapless rank from 0 of each row in its group.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm._base import WORD_BYTES, discard, free_names, lookup, pairs_within, raw_texts, roots_of, small_batches, whole_groups, written
+from quillframe.llm._base import WORD_BYTES, discard, free_names, lookup, pairs_within, raw_texts, roots_of, screened, small_batches, whole_groups, written
 from quillframe.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -344,11 +344,12 @@ def joined(docs: DataFrame, sets: DataFrame, width: int, threshold: float) -> tu
     placed = forest(own.select("rid", "n", "sig"), trees, floor)
     near = placed.filter(F.greatest("before", "after") >= floor)
     total = near.count()
-    met = written(near.select("rid").distinct(), "forest-ids")
-    info = written(own.join(met, "rid").select("rid", "copies", "sig", "d", "t"), "forest-texts")
+    met = written(near.select("rid", F.xxhash64("rid").alias("h")).distinct(), "forest-ids")
+    some = screened(own.select("rid", "copies", "sig", "d", "t", F.xxhash64("rid").alias("h")), "h", met, "h")
+    info = written(some.join(met.select("rid"), "rid").select("rid", "copies", "sig", "d", "t"), "forest-texts")
     discard(met)
     wanted = written(info.select("rid", "copies", "d", "t"), "forest-ids")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
+    texts = screened(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null"), "th", wanted, "t")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     texts = written(texts.dropDuplicates(["rid"]).select("rid", "copies", "text"), "texts")
     depth, last, depths, parts = DEPTH, DEPTH + 1, [], []
@@ -384,9 +385,10 @@ def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     class_id is the least doc_id reachable by links, n_links the number of other rows linked directly, and kept marks
     one text of each class (its least doc_id, then th); repeated rows are all marked alike.
     """
-    signatures = signed(docs, width, threshold)
+    whole_rows = signed(docs, width, threshold)
+    sets, signatures = classes(whole_rows), written(whole_rows.select("doc_id", "th", "sets"), "keys")
+    discard(whole_rows)
     keyed = signatures.filter("sets is not null")
-    sets = classes(signatures)
     found, _ = joined(docs, sets, width, threshold)
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "rep")
     whole = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
@@ -394,6 +396,7 @@ def linked(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     member = lookup(whole, least, "component", whole.count()).select("rep", "first")
     merged = sets.join(links, "rep", "left").join(member, "rep", "left")
     merged = written(merged.select("sets", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("first"), F.col("copies").alias("rows")), "classes")
+    discard(sets)
     out = lookup(keyed.select("doc_id", "th", "sets"), merged, "sets", signatures.count())
     out = out.unionByName(signatures.filter("sets is null").select("doc_id", "th", "sets"), allowMissingColumns=True)
     return out.select("doc_id", "th", F.coalesce(F.col("first.doc_id"), "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("first") == _order(), F.lit(True)).alias("kept"))

@@ -746,6 +746,18 @@ def test_low_threshold(spark):
     assert {r["doc_id"]: r["n_links"] for r in jaccard.linked(repeated(spark, rows), threshold=0.3).collect()} == want and any(want.values())
 
 
+def test_screens_lose_nothing(spark, monkeypatch):
+    from quillframe.llm import _base
+
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    wanted = rows.filter("id % 100 = 7")
+    got = {r["id"] for r in _base.screened(rows, "h", wanted, "h").collect()}
+    assert {r["id"] for r in wanted.collect()} <= got and len(got) < 300
+    monkeypatch.setattr(_base, "BITMAP", 64)
+    assert {r["id"] for r in wanted.collect()} <= {r["id"] for r in _base.screened(rows, "h", wanted, "h").collect()}
+    assert _base.screened(rows, "h", wanted.limit(0), "h").count() == 0
+
+
 def test_pairs_within():
     from quillframe.llm._base import pairs_within
 
