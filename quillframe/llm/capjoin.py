@@ -49,8 +49,8 @@ ROW_COST = 256
 SKETCH = 256
 #: Code words tried for each part of a code.
 SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096)
-#: Pairs looked at together.
-PAIRS = 20_000
+#: Pairs looked at together, and sums of two code words.
+PAIRS, SUMS = 20_000, 1 << 20
 
 
 def turned(dim: int, seed: int) -> np.ndarray:
@@ -70,30 +70,47 @@ class Codes:
             own = [r.normal(size=(size, len(cut))) for cut in self.cuts]
             self.words.append([w / np.linalg.norm(w, axis=1)[:, None] / np.sqrt(len(self.cuts)) for w in own])
 
-    def above(self, unit: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, filter, product) of all directions that a row exceeds; without codes the one filter of all."""
+    def above(self, unit: np.ndarray, height: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(row, filter, product) of all directions that a row exceeds, SUMS of them tried at once; without codes the one filter of all.
+
+        None as soon as there are more than most.
+        """
         if not self.turns:
             return np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64), np.ones(len(unit))
-        out = []
+        out, found = [], 0
         for c, (turn, words) in enumerate(zip(self.turns, self.words)):
             at = unit @ turn
             score = [at[:, cut] @ w.T for cut, w in zip(self.cuts, words)]
-            most = [s.max(axis=1) for s in score]
-            row, word = np.nonzero(score[0] >= (height - sum(most[1:]))[:, None] if len(most) > 1 else score[0] >= height)
-            product, name = score[0][row, word], word.astype(np.int64)
-            if len(score) > 1:
-                other, second = np.nonzero(score[1] >= (height - most[0])[:, None])
-                n = np.bincount(other, minlength=len(unit))
-                begin, times = np.cumsum(n) - n, n[row]
-                place = np.repeat(begin[row], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, product, name = np.repeat(row, times), np.repeat(product, times) + score[1][other, second][place], np.repeat(name, times) * self.size + second[place]
-                over = product >= height
-                row, product, name = row[over], product[over], name[over]
-            out.append((row, name + c * self.size ** len(self.cuts), product))
+            for row, name, product in self._sums(score, height):
+                out.append((row, name + c * self.size ** len(self.cuts), product))
+                found += len(row)
+                if most is not None and found > most:
+                    return None
         row, name, product = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((name, row))
         return row[order], name[order], product[order]
 
+    def _sums(self, score: list[np.ndarray], height: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, direction, product) of one code's directions above the height, from the products with the words of each part."""
+        most = [s.max(axis=1) for s in score]
+        row, word = np.nonzero(score[0] >= (height - sum(most[1:]))[:, None] if len(most) > 1 else score[0] >= height)
+        product, name = score[0][row, word], word.astype(np.int64)
+        if len(score) == 1:
+            yield row, name, product
+            return
+        other, second = np.nonzero(score[1] >= (height - most[0])[:, None])
+        value, n = score[1][other, second], np.bincount(other, minlength=len(most[0]))
+        begin, times = (np.cumsum(n) - n)[row], n[row]
+        upto = np.cumsum(times)
+        edges = np.searchsorted(upto, np.arange(SUMS, upto[-1], SUMS)) + 1 if len(upto) else []
+        for part in np.split(np.arange(len(row)), edges):
+            t = times[part]
+            place = np.repeat(begin[part] - np.cumsum(t) + t, t) + np.arange(t.sum())
+            total = np.repeat(product[part], t) + value[place]
+            over = np.flatnonzero(total >= height)
+            whose = np.repeat(part, t)[over]
+            yield row[whose], name[whose] * self.size + second[place[over]], total[over]
+
     def lists(self, unit: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter), by row and filter, each row with LEAST filters or more, if there are so many."""
         row, name, _ = self.above(unit, height)
@@ -121,9 +138,12 @@ def calibrated(dim: int, size: int, threshold: float) -> tuple[float, float] | N
     code, (x, y) = Codes(dim, size), pairs_at(dim, threshold, SAMPLE_PAIRS, 1)
     height, allowed = min(0.95, 0.75 * np.sqrt(2 * np.log(CODES * size**2) / dim)), int(SAMPLE_PAIRS * (1 - TARGET) + 1e-9)
     while height > -1:
-        (p, f, u), (q, g, v) = code.above(x, height), code.above(y, height)
-        if len(p) + len(q) > 2 * LONGEST * SAMPLE_PAIRS:
+        most = 2 * LONGEST * SAMPLE_PAIRS
+        left = code.above(x, height, most)
+        right = left and code.above(y, height, most - len(left[0]))
+        if right is None:
             return None
+        (p, f, u), (q, g, v) = left, right
         _, a, b = np.intersect1d(p * (1 << 40) + f, q * (1 << 40) + g, assume_unique=True, return_indices=True)
         met = np.full(SAMPLE_PAIRS, -2.0)
         np.maximum.at(met, p[a], np.minimum(u[a], v[b]))

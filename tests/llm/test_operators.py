@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -453,7 +454,15 @@ def test_lists_reach_the_target(dim, n, threshold):
     assert sum(bool(a & b) for a, b in zip(*lists)) >= 985 and (size or dim < 3 or threshold < 0.5), (size, height)
 
 
-def test_list_decoding_finds_all_directions():
+def test_planning_for_short_vectors_takes_little_memory():
+    tracemalloc.start()
+    assert capjoin.calibrated.__wrapped__(4, 4096, 0.9) is None
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_list_decoding_finds_all_directions(monkeypatch):
+    monkeypatch.setattr(capjoin, "SUMS", 50)
     code, r = capjoin.Codes(10, 6), np.random.default_rng(1)
     x = r.normal(size=(40, 10))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -468,6 +477,7 @@ def test_list_decoding_finds_all_directions():
                     if v @ direction >= 0.4:
                         want.append((i, c * 36 + k * 6 + m))
     assert got == sorted(want)
+    assert code.above(x, 0.4, len(want) - 1) is None and len(code.above(x, 0.4, len(want))[0]) == len(want)
     row, _ = code.lists(x, 0.9)
     assert np.bincount(row, minlength=40).min() >= capjoin.LEAST
 
