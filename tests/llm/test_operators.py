@@ -486,7 +486,7 @@ def test_sketches_of_linked_pairs_are_close():
     for dim in (2, 3, 64):
         x, y = capjoin.pairs_at(dim, 0.9, 20_000, 5)
         away = np.bitwise_count(capjoin.sketches(x) ^ capjoin.sketches(y)).sum(axis=1)
-        assert away.max() <= capjoin.most_bits(0.9) < 48
+        assert away.max() <= capjoin.most_bits(0.9) < 0.375 * capjoin.SKETCH
 
 
 def test_recall_of_lone_pairs(spark):
