@@ -18,6 +18,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def small_scans(spark: SparkSession) -> None:
+    """Bounds the rows that a scan of Parquet decodes at once: 4096 long texts make arrays of tens of MB, which fill the heap."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+
+
 #: A-Z to a-z; digits, a-z and all bytes from 0x80 stay; everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm._base import WORD_BYTES, discard, free_names, lookup, pairs_within, raw_texts, roots_of, screened, small_batches, whole_groups, written
+from quillframe.llm._base import WORD_BYTES, discard, free_names, lookup, pairs_within, raw_texts, roots_of, screened, small_batches, small_scans, whole_groups, written
 from quillframe.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -135,6 +135,7 @@ WIDTH = 2 * (1 + DEPTH)
 def signed(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """A written row for each document: rid, doc_id, th (hash of the text), sets (key of the shingle set), n, sig (its keys)."""
     small_batches(docs.sparkSession)
+    small_scans(docs.sparkSession)
     trees = n_trees(threshold)
     odd = multipliers(trees)
 

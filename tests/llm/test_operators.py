@@ -676,6 +676,16 @@ def near_copies(seed=9):
     return out
 
 
+@pytest.mark.parametrize("run", [jaccard.linked, jaccard.kept])
+def test_jaccard_decodes_few_long_texts_at_once(spark, tmp_path, run):
+    """Texts of 3 KB are decoded a megabyte at a time; 4096 at once took tens of MB in one array."""
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    spark.createDataFrame([(i, f"w{i} " * 8) for i in range(600)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert run(docs).count() == 600
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) * 3000 <= 1 << 20
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
