@@ -9,13 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.plans.tables import discard, lookup, scratch, written  # noqa: F401
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches handed to Python by rows and bytes, so that long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+from quillframe.plans.tables import discard, lookup, scratch, small_batches, written  # noqa: F401
 
 
 def small_scans(spark: SparkSession) -> None:
