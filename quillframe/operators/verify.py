@@ -13,6 +13,8 @@ from quillframe.plans.registry import FEATURES, SEMANTIC_VERSION
 from quillframe.plans.tables import written
 
 ITERATIONS, TOLERANCE, LOGIT_LIMIT = 100, 1e-12, 700.0
+#: Steps of at most this size, relative to the weights, that no longer shrink are rounding.
+ROUNDING = 1e-9
 MODEL_ID = "logistic-verifier-1"
 
 
@@ -138,23 +140,33 @@ def newton(rows: DataFrame, size: int, penalty: float, iterations: int = ITERATI
     """Weights and intercept (last) of the logistic model on rows(y, x): Newton steps on penalised log loss.
 
     Each step is one aggregation of the gradient and the Hessian, (p + 1)(p + 4) / 2 sums; only those reach the driver.
+    Steps are taken for x less its mean in units of its deviation, whose Hessian is well conditioned however close the values lie
+    to each other, and the model is given for x as it is. Where sums over many rows round more than the tolerance allows, steps end
+    once they are small and no longer shrink.
     """
-    p, w = size + 1, np.zeros(size + 1)
-    x = [F.element_at("x", i + 1) for i in range(size)] + [F.lit(1.0)]
+    x = [F.element_at("x", i + 1) for i in range(size)]
+    found = rows.agg(*[f(c) for c in x for f in (F.avg, F.stddev_pop)]).first()
+    mean, unit = np.array(found[::2], dtype=float), np.array([v or 1.0 for v in found[1::2]], dtype=float)
+    p, w, last = size + 1, np.zeros(size + 1), np.inf
+    x = [(c - F.lit(float(m))) / F.lit(float(u)) for c, m, u in zip(x, mean, unit)] + [F.lit(1.0)]
+    ridge = np.append(penalty / unit**2, 0.0)
+    scaled = rows.select(F.array(*x).alias("x"), "y")
+    x = [F.element_at("x", i + 1) for i in range(p)]
     for _ in range(iterations):
         z = sum((F.lit(float(w[i])) * x[i] for i in range(size)), F.lit(float(w[size])))
         mu = sigmoid(z)
-        base = rows.select("x", "y", mu.alias("mu")).withColumn("v", F.col("mu") * (1 - F.col("mu")))
+        base = scaled.select("x", "y", mu.alias("mu")).withColumn("v", F.col("mu") * (1 - F.col("mu")))
         sums = [F.sum((F.col("mu") - F.col("y")) * x[i]) for i in range(p)] + [F.sum(F.col("v") * x[i] * x[j]) for i in range(p) for j in range(i, p)]
         got = base.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
         gradient, hessian = np.array(got[:p], dtype=float), np.zeros((p, p))
         hessian[np.triu_indices(p)] = got[p:]
         hessian += np.triu(hessian, 1).T
-        ridge = np.append(np.full(size, penalty), 0.0)
         step = np.linalg.solve(hessian + np.diag(ridge), gradient + ridge * w)
-        w = w - step
-        if np.abs(step).max() <= tolerance:
-            return w
+        w, most = w - step, np.abs(step).max()
+        if most <= tolerance or (last <= ROUNDING * max(1.0, np.abs(w).max()) and most >= last / 2):
+            weights = w[:size] / unit
+            return np.append(weights, w[size] - weights @ mean)
+        last = most
     raise ArithmeticError("the fit didn't converge")
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import pairs
+from quillframe.operators import pairs, verify
 
 
 def plan(df):
@@ -46,3 +46,14 @@ def test_manifest_is_hashed_in_chunks(spark, monkeypatch):
         lines = sorted(f'["{x[4]}","{x[5]}","{x[3]}"]' for x in given)
         assert tuple(found.first()) == (len(given), hashlib.sha256(('{"pairs":[' + ",".join(lines) + "]}").encode()).hexdigest())
         assert "collect_list" not in plan(found)
+
+
+# ---- fitting
+
+def test_newton_converges_on_values_close_together(spark):
+    """Logits that nearly agree, as of a feature that parts nothing: their Hessian is nearly singular."""
+    n = 4000
+    rows = spark.range(n).select((F.xxhash64("id") % 2 == 0).cast("double").alias("y"), F.array(F.lit(3.0) + (F.xxhash64(F.lit(1), "id") % 1000) * 1e-9).alias("x"))
+    w = verify.newton(rows, 1, 0.0)
+    got = rows.agg(F.avg("y"), F.avg(1 / (1 + F.exp(-(F.col("x")[0] * float(w[0]) + float(w[1]))))), F.corr("y", F.col("x")[0]), F.stddev_pop(F.col("x")[0])).first()
+    assert abs(got[0] - got[1]) < 1e-6 and abs(w[0] * got[3] - 2 * got[2]) < 0.2 * abs(got[2])
