@@ -3,10 +3,14 @@
 import hashlib
 import itertools
 import random
+import re
+from collections import Counter
+
+import pytest
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import pairs, verify
+from quillframe.operators import pairs, represent, verify
 
 
 def plan(df):
@@ -57,3 +61,44 @@ def test_newton_converges_on_values_close_together(spark):
     w = verify.newton(rows, 1, 0.0)
     got = rows.agg(F.avg("y"), F.avg(1 / (1 + F.exp(-(F.col("x")[0] * float(w[0]) + float(w[1]))))), F.corr("y", F.col("x")[0]), F.stddev_pop(F.col("x")[0])).first()
     assert abs(got[0] - got[1]) < 1e-6 and abs(w[0] * got[3] - 2 * got[2]) < 0.2 * abs(got[2])
+
+
+# ---- n-grams
+
+def plain_grams(rows, spec):
+    out = {}
+    for a, text in rows:
+        found = re.findall(r"[^\W\d_]+|\d+", text or "")
+        units = list(text or "") if spec.unit == "char" else [w.casefold() for w in found if not w[0].isdecimal()]
+        for n in range(spec.low, spec.high + 1):
+            for i in range(len(units) - n + 1):
+                of = out.setdefault(a, Counter())
+                of[("" if spec.unit == "char" else " ").join(units[i : i + n])] += 1
+    return out
+
+
+@pytest.mark.parametrize("spec", [represent.CHAR, represent.WORD, represent.Spec("char", 1, 12), represent.Spec("word", 2, 9)])
+def test_grams_are_counted_where_texts_are_read(spark, monkeypatch, spec):
+    """Texts of one artifact in several rows, long and empty ones, characters of all widths, and more digits than a number holds."""
+    monkeypatch.setattr(represent, "UNITS", 300)
+    r = random.Random(5)
+    words = ["Straße", "the", "THE", "Ärger", "été", "ΣΟΦΟΣ", "漢字", "x", "12", "日本", "𝒳y", "a😀b"]
+    rows = [(r.randint(0, 40), " ".join(r.choice(words) for _ in range(r.choice((0, 1, 3, 30, 200))))) for _ in range(90)] + [(50, None), (51, ""), (52, "".join(map(chr, range(0x4E00, 0x5300))))]
+    docs, want = spark.createDataFrame(rows, "artifact_id long, text string"), plain_grams(rows, spec)
+    grams = represent.grams(docs, spec)
+    assert {(x["artifact_id"], x["term"]): x["n"] for x in grams.collect()} == {(a, t): n for a, ts in want.items() for t, n in ts.items()}
+    assert "HashAggregate" not in plan(grams)
+    assert sorted(map(tuple, represent.sizes(docs, spec).collect())) == sorted((a, len(ts), sum(ts.values()), max(ts.values())) for a, ts in want.items())
+    assert {tuple(x) for x in represent.totals(docs, spec).collect()} == {(t, sum(t in ts for ts in want.values()), sum(ts[t] for ts in want.values())) for t in {t for ts in want.values() for t in ts}}
+
+
+def test_weights_need_no_join_with_the_terms(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(f"d{i}", "the " + " ".join(r.choice("alpha beta gamma delta epsilon straße".split()) for _ in range(r.randint(0, 30)))) for i in range(300)], "artifact_id string, text string")
+    counts = represent.grams(docs, represent.WORD_TFIDF)
+    terms = represent.vocabulary(counts, 300)
+    got = represent.normed(represent.weighted(counts, 300))
+    assert "SortMergeJoin" not in plan(got)
+    want = {(x["artifact_id"], x["index"]): x["value"] for x in represent.transformed(counts, terms, represent.WORD_TFIDF).collect()}
+    assert {(x["artifact_id"], x["index"]): x["value"] for x in got.collect()} == pytest.approx(want, rel=1e-12)
+    assert sorted(map(tuple, represent.vocabulary_of(docs, represent.WORD_TFIDF, 300).collect())) == sorted(map(tuple, terms.collect()))
