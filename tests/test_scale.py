@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import pairs, represent, verify
+from quillframe.operators import corpus, pairs, represent, verify
 
 
 def plan(df):
@@ -102,3 +102,13 @@ def test_weights_need_no_join_with_the_terms(spark):
     want = {(x["artifact_id"], x["index"]): x["value"] for x in represent.transformed(counts, terms, represent.WORD_TFIDF).collect()}
     assert {(x["artifact_id"], x["index"]): x["value"] for x in got.collect()} == pytest.approx(want, rel=1e-12)
     assert sorted(map(tuple, represent.vocabulary_of(docs, represent.WORD_TFIDF, 300).collect())) == sorted(map(tuple, terms.collect()))
+
+
+# ---- ranges and lengths
+
+def test_rows_ahead_are_counted_without_pairs(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([1, 2, None]), r.choice([None, float("nan"), 0.0, -0.0, 0.1 + 0.2, 1.3, 1.0, 5.0, r.random() * 3])) for i in range(300)]
+    found = corpus.ahead(spark.createDataFrame(rows, "i long, k int, v double"), "k", "v", 1.0)
+    assert {x["i"]: x["n"] for x in found.collect()} == {i: sum(k is not None and k == b and v is not None and w is not None and v < w <= v + 1 for _, b, w in rows) for i, k, v in rows}
+    assert "BroadcastNestedLoopJoin" not in plan(found)
