@@ -42,9 +42,20 @@ def surface_events(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("artifact_id", F.inline(surface_event_list()))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), value being computed once however often it occurs there, also within lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def counted(array: Column, feature: str) -> Column:
-    """Events of the values of a short-ranged array of numbers, counted within the row."""
-    return F.transform(F.array_distinct(array), lambda k: _event(feature, k, F.size(F.filter(array, lambda x: x == k))))
+    """Events of the values of an array of numbers, counted within the row: the array is computed and sorted once, and its runs are measured."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        return bound(starts, lambda s: F.transform(s, lambda i, k: _event(feature, F.get(ordered, i - 1), F.coalesce(F.get(s, k + 1), n + 1) - i)))
+
+    return bound(F.sort_array(array), runs)
 
 
 def token_event_list() -> Column:
@@ -64,14 +75,18 @@ def structured(artifacts: DataFrame) -> DataFrame:
 
 
 def structure_event_list() -> Column:
-    """Lengths of sentences and paragraphs, from paragraphs and sentences."""
-    flat = F.flatten("sentences")
-    return F.concat(
-        counted(F.transform(flat, lambda s: F.least(F.size(T.tokens(s)), F.lit(101))), "text.structure.sentence_length_tokens"),
-        counted(F.transform(flat, lambda s: F.least(F.length(s), F.lit(501))), "text.structure.sentence_length_characters"),
-        counted(F.transform("sentences", lambda p: F.least(F.size(p), F.lit(51))), "text.structure.paragraph_sentence_count"),
-        counted(F.transform("paragraphs", lambda p: F.least(F.size(T.tokens(p)), F.lit(501))), "text.structure.paragraph_token_count"),
-    )
+    """Lengths of sentences and paragraphs, from paragraphs and sentences; no token goes beyond its sentence, so that each is found once."""
+
+    def events(sentences: Column, sizes: Column) -> Column:
+        flat, total = F.flatten(sentences), lambda p: F.aggregate(p, F.lit(0), lambda a, n: a + n)
+        return F.concat(
+            counted(F.transform(F.flatten(sizes), lambda n: F.least(n, F.lit(101))), "text.structure.sentence_length_tokens"),
+            counted(F.transform(flat, lambda s: F.least(F.length(s), F.lit(501))), "text.structure.sentence_length_characters"),
+            counted(F.transform(sizes, lambda p: F.least(F.size(p), F.lit(51))), "text.structure.paragraph_sentence_count"),
+            counted(F.transform(sizes, lambda p: F.least(total(p), F.lit(501))), "text.structure.paragraph_token_count"),
+        )
+
+    return bound(F.col("sentences"), lambda s: bound(F.transform(s, lambda p: F.transform(p, lambda x: F.size(T.tokens(x)))), lambda n: events(s, n)))
 
 
 def structure_events(artifacts: DataFrame) -> DataFrame:
@@ -105,11 +120,15 @@ def word_types(artifacts: DataFrame) -> DataFrame:
 
 
 def token_types(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, language (null if not given), word, number, n): word types, one row for all numbers, and one with n = 0 where there is no token."""
+    """(artifact_id, language (null if not given), word, number, n): word types, one row for all numbers, and one with n = 0 where there is no token.
+
+    Tokens are counted as they are written first, so that a form is folded once for each artifact.
+    """
     language = F.col("language") if "language" in artifacts.columns else F.lit(None).cast("string").alias("language")
     rows = keyed(artifacts).select("artifact_id", language, F.explode_outer(T.tokens(F.col("text"))).alias("t"))
+    forms = rows.groupBy("artifact_id", "language", "t").agg(F.count("t").alias("times"))
     is_word = F.coalesce(F.col("t").rlike(r"^\p{L}"), F.lit(False))
-    return rows.groupBy("artifact_id", "language", F.when(is_word, U.casefold(F.col("t"))).alias("word"), (~is_word).alias("number")).agg(F.count("t").alias("n"))
+    return forms.groupBy("artifact_id", "language", F.when(is_word, U.casefold(F.col("t"))).alias("word"), (~is_word).alias("number")).agg(F.sum("times").alias("n"))
 
 
 def diversity(types: DataFrame) -> DataFrame:
@@ -140,7 +159,7 @@ def type_scalars(types: DataFrame) -> DataFrame:
         F.count_if(word & (F.col("n") == 1)).alias("hapax_count"),
         (F.log2(total) - F.sum(n * F.log2(n)) / total).alias("entropy_bits"),
         (square / (total * total)).alias("simpson"),
-        F.coalesce(F.sum(F.when(F.array_contains(F.array(*map(F.lit, function_words())), F.col("word")), F.col("n"))), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.when(F.col("word").isin(*function_words()), F.col("n"))), F.lit(0)).alias("matched"),
         F.first("language", ignorenulls=True).alias("language"),
     )
     return rows.withColumns({"ttr": F.try_divide("type_count", "word_count"), "hapax_share": F.try_divide("hapax_count", "word_count")})
@@ -175,8 +194,7 @@ def function_word_events(artifacts: DataFrame) -> DataFrame:
 
 def matched_events(types: DataFrame) -> DataFrame:
     """function_word_events() from token_types()."""
-    lexemes = F.array(*map(F.lit, function_words()))
-    found = types.filter((F.col("language") == "en") & F.array_contains(lexemes, F.col("word")))
+    found = types.filter((F.col("language") == "en") & F.col("word").isin(*function_words()))
     return found.select("artifact_id", F.lit("text.function_words.en.lexeme_distribution").alias("feature_id"), F.col("word").alias("key"), "n")
 
 

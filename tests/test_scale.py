@@ -10,7 +10,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import corpus, pairs, represent, verify
+from quillframe.functions import text as T
+from quillframe.functions import unicode as U
+from quillframe.operators import corpus, pairs, represent, text, verify
 
 
 def plan(df):
@@ -112,3 +114,28 @@ def test_rows_ahead_are_counted_without_pairs(spark):
     found = corpus.ahead(spark.createDataFrame(rows, "i long, k int, v double"), "k", "v", 1.0)
     assert {x["i"]: x["n"] for x in found.collect()} == {i: sum(k is not None and k == b and v is not None and w is not None and v < w <= v + 1 for _, b, w in rows) for i, k, v in rows}
     assert "BroadcastNestedLoopJoin" not in plan(found)
+
+
+def test_lengths_are_computed_once(spark):
+    """Runs of a sorted array, computed once: the patterns of tokens and sentences occur once in the plan of each list."""
+    given = ["One two. Three 4.5 five! Six?\n\nSeven eight's nine. Ten.", "", None, "x", "A b. c d.\n \nE f. " * 3]
+    docs = spark.createDataFrame(list(enumerate(given)), "artifact_id int, text string")
+    got = {(x["artifact_id"], x["feature_id"].rpartition(".")[2], x["key"]): x["n"] for x in text.structure_events(docs).collect()}
+    want = Counter()
+    for a, t in enumerate(given):
+        for p in [p for p in re.split(r"\n\s*\n", t or "") if p.strip()]:
+            sentences = [s.strip() for s in re.split(r"(?<=[.!?])(?=\s)", p) if s.strip()]
+            sizes = [len(re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+(?:[.,_]\d+)*", s)) for s in sentences]
+            want.update([(a, "paragraph_sentence_count", str(len(sentences))), (a, "paragraph_token_count", str(sum(sizes)))])
+            want.update([(a, "sentence_length_tokens", str(n)) for n in sizes] + [(a, "sentence_length_characters", str(len(s))) for s in sentences])
+    assert got == dict(want)
+    optimized = text.structure_events(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_extract_all(") <= 2
+
+
+def test_trim_is_of_white_space_at_the_ends(spark):
+    white = [chr(i) for i in range(0x3001) if re.fullmatch(r"[\t-\r \x85\xa0  -     　]", chr(i))]
+    assert len(white) == 25 and set(white) == set(U.WHITE_CHARACTERS)
+    given = ["", "a", *white, *(w + "a" + w + "é b" + w * 2 for w in white), "​x​", "".join(white)]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", T.trim(F.col("t")).alias("cut"), F.regexp_replace("t", rf"^[{U.WHITE}]+|[{U.WHITE}]+\z", "").alias("old")).collect()
+    assert all(x["cut"] == x["old"] for x in rows) and "RegExp" not in plan(spark.createDataFrame([("a",)], "t string").select(T.trim(F.col("t"))))
