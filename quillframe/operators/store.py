@@ -27,11 +27,13 @@ def reused(artifacts: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame
 def measured(artifacts: DataFrame, store: DataFrame | None, measure) -> tuple[DataFrame, DataFrame]:
     """Observations of all artifacts, with cache_key, only unknown ones being measured, and the new rows for the store.
 
-    Equal artifacts are measured once.
+    Equal artifacts are measured once. Keys are computed and written first, so that what artifacts hold is shuffled once, by cache_key, to be measured.
     """
-    hits, misses = (None, artifacts) if store is None else reused(artifacts, store)
+    keys = written(artifacts.select("artifact_id", "cache_key"), "keys")
+    hits, misses = (None, keys) if store is None else reused(keys, store)
     first = misses.groupBy("cache_key").agg(F.min("artifact_id").alias("artifact_id"))
-    fresh = written(measure(misses.join(first, ["cache_key", "artifact_id"], "left_semi").dropDuplicates(["cache_key"])).join(first, "artifact_id"), "measured")
+    lone = artifacts.join(first.withColumnRenamed("artifact_id", "__first"), "cache_key").filter(F.col("artifact_id") == F.col("__first")).select(*artifacts.columns).dropDuplicates(["cache_key"])
+    fresh = written(measure(lone).join(first, "artifact_id"), "measured")
     own = fresh.drop("artifact_id").join(misses.select("artifact_id", "cache_key"), "cache_key")
     return own if hits is None else hits.unionByName(own, allowMissingColumns=True), fresh
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
 from quillframe.functions import unicode as U
-from quillframe.operators import corpus, pairs, represent, text, verify
+from quillframe.operators import corpus, pairs, represent, store, text, verify
 
 
 def plan(df):
@@ -139,3 +139,16 @@ def test_trim_is_of_white_space_at_the_ends(spark):
     given = ["", "a", *white, *(w + "a" + w + "é b" + w * 2 for w in white), "​x​", "".join(white)]
     rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", T.trim(F.col("t")).alias("cut"), F.regexp_replace("t", rf"^[{U.WHITE}]+|[{U.WHITE}]+\z", "").alias("old")).collect()
     assert all(x["cut"] == x["old"] for x in rows) and "RegExp" not in plan(spark.createDataFrame([("a",)], "t string").select(T.trim(F.col("t"))))
+
+
+def test_texts_are_shuffled_once_to_be_measured_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}", f"k{i % 7}") for i in range(30)], "artifact_id long, text string, cache_key string")
+    plans = []
+
+    def measure(rows):
+        plans.append(plan(rows))
+        return rows.select("artifact_id", F.length("text").alias("value"))
+
+    every, fresh = store.measured(docs, None, measure)
+    assert sorted(map(tuple, every.select("artifact_id", "cache_key", "value").collect())) == sorted((i, f"k{i % 7}", 6) for i in range(30)) and fresh.count() == 7
+    assert "hashpartitioning(cache_key" in plans[0] and not re.search(r"hashpartitioning\(cache_key#\d+, artifact_id", plans[0])
