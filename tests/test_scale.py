@@ -152,3 +152,18 @@ def test_texts_are_shuffled_once_to_be_measured_once(spark):
     every, fresh = store.measured(docs, None, measure)
     assert sorted(map(tuple, every.select("artifact_id", "cache_key", "value").collect())) == sorted((i, f"k{i % 7}", 6) for i in range(30)) and fresh.count() == 7
     assert "hashpartitioning(cache_key" in plans[0] and not re.search(r"hashpartitioning\(cache_key#\d+, artifact_id", plans[0])
+
+
+def test_surface_is_counted_without_a_pattern_each(spark):
+    r = random.Random(9)
+    given = ["", None, "....", "\r\n\r\r\n\n", *("".join(r.choice("ab\r\n\t .…   '’\"“”‘«»-–—\x0b") for _ in range(60)) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(given)), "artifact_id int, text string")
+    named = {"lf": r"(?<!\r)\n", "crlf": r"\r\n", "cr": r"\r(?!\n)", "line_separator": " ", "paragraph_separator": " "}
+    white = {"space_ascii": " ", "tab": r"\t", "line_feed": r"\n", "carriage_return": r"\r", "line_separator": " ", "paragraph_separator": " ", "other_white_space": "[\x0b ]"}
+    want = Counter()
+    for i, t in enumerate(given):
+        for f, patterns in (("line_ending", named), ("whitespace_class", white), ("marker_style", {k: re.escape(m) for k, m in T.MARKERS.items()})):
+            want.update({(i, f, k): len(re.findall(p, t or "")) for k, p in patterns.items()})
+    found = text.surface_events(rows)
+    assert {(x["artifact_id"], x["feature_id"].rpartition(".")[2], x["key"]): x["n"] for x in found.collect()} == dict(+want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 1
